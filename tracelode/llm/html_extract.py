@@ -167,9 +167,8 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def threshold(values: list[float]) -> float:
-    """The middle between two clusters of the logarithms."""
-    logs = [math.log1p(v) for v in values]
+def threshold(logs: list[float]) -> float:
+    """The middle between two clusters; of equal values that value."""
     low, high = min(logs), max(logs)
     for _ in range(30):
         middle = (low + high) / 2
@@ -180,7 +179,7 @@ def threshold(values: list[float]) -> float:
         if new == (low, high):
             break
         low, high = new
-    return math.expm1((low + high) / 2)
+    return min((low + high) / 2, max(logs))
 
 
 def extract(html: str | None) -> tuple[str, int]:
@@ -195,8 +194,9 @@ def extract(html: str | None) -> tuple[str, int]:
     if not rows:
         return "", 0
     ratios = smooth([max(0, len(text) - line.linked) / (1 + line.tags) for line, text in rows])
-    cut = threshold(ratios)
-    chosen = [r >= cut for r in ratios]
+    logs = [math.log1p(r) for r in ratios]
+    cut = threshold(logs)
+    chosen = [x >= cut for x in logs]
     weight: dict[int, int] = {}
     total = 0
     for (line, text), yes in zip(rows, chosen, strict=True):

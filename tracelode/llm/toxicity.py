@@ -14,7 +14,7 @@ squashed: the score is a logistic function of it whose two parameters are fitted
 
 What the lexicon holds is learned: whole words and word beginnings of four to six letters whose odds
 of standing in a toxic document are high, with their log odds as weights. It is learned from labelled
-rows that are not held out (crc32 of doc_id as text, mod 4, is 2 for held-out rows), from
+rows that are not held out, where the log likelihood ratio against chance is large (crc32 of doc_id as text, mod 4, is 2 for held-out rows), from
 ``TRAIN`` rows of either label at most, those with the smallest hashes. Scores see the text alone.
 
 Defined results: a null or empty text has weight 0 and so the lowest score; repeated rows are scored
@@ -37,8 +37,9 @@ from .common import small_batches, table
 
 THRESHOLD = 0.3
 TRAIN = 6_000  # labelled rows of either label that are learned from, at most
-LEXICON = 5_000  # features, at most: those with the highest odds
-SUPPORT, ODDS = 3, 8.0  # toxic documents with a feature, and the ratio of its odds, at least
+LEXICON = 5_000  # features, at most: those with the most evidence
+ODDS = 8.0  # of a feature between toxic and other documents, at least
+EVIDENCE = 10.0  # log likelihood ratio of a feature against chance, at least
 REACH = 4
 
 #: Word classes of the grammar. Learned words add to "insult" only.
@@ -175,8 +176,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Grammar:
         return Grammar({})
     counts = rows.mapInPandas(_features, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
     odds = ((F.col("p") + 0.5) / (bad + 1)) / ((F.col("n") + 0.5) / (good + 1))
-    chosen = counts.withColumn("odds", odds).filter((F.col("p") >= SUPPORT) & (F.col("odds") >= ODDS) & (F.col("p") * good > 4 * F.col("n") * bad))
-    chosen = chosen.orderBy(F.desc(F.col("p") * F.log("odds")), "feature").limit(LEXICON).collect()
+    share = bad / (bad + good)
+    part = lambda c, at: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (F.col("p") + F.col("n")) / at)).otherwise(0.0)
+    counts = counts.withColumns({"odds": odds, "evidence": part("p", share) + part("n", 1 - share)})
+    chosen = counts.filter((F.col("odds") >= ODDS) & (F.col("evidence") >= EVIDENCE))
+    chosen = chosen.orderBy(F.desc("evidence"), "feature").limit(LEXICON).collect()
     grammar = Grammar({r["feature"]: min(6.0, math.log(r["odds"])) for r in chosen})
     lexicon = grammar.lexicon
 
