@@ -12,10 +12,12 @@ break) is scored by their composition, a product of the weights on its path:
 A clause without an insult or a threat has weight 0. A document's weight is the sum over clauses,
 squashed: the score is a logistic function of it whose two parameters are fitted.
 
-What the lexicon holds is learned: whole words and word beginnings of four to six letters whose odds
-of standing in a toxic document are high, with their log odds as weights. It is learned from labelled
-rows that are not held out, where the log likelihood ratio against chance is large (crc32 of doc_id as text, mod 4, is 2 for held-out rows), from
-``TRAIN`` rows of either label at most, those with the smallest hashes. Scores see the text alone.
+What the lexicon holds is learned: whole words and word beginnings of four to six letters that stand
+in toxic documents with high odds, and too often for chance (log likelihood ratio), with their log
+odds as weights. What counts is different contexts, so copies of one text are one witness. It is
+learned from labelled rows that are not held out (crc32 of doc_id as text, mod 4, is 2 for held-out
+rows), from ``TRAIN`` rows of either label at most, those with the smallest hashes of doc_id. Scores
+see the text alone. A clause that repeats counts once.
 
 Defined results: a null or empty text has weight 0 and so the lowest score; repeated rows are scored
 alike; other columns are ignored; labels that are null, or whose doc_id has no document, count for
@@ -25,7 +27,6 @@ nothing; without labelled rows only the words given here are the lexicon.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +37,12 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 THRESHOLD = 0.3
-TRAIN = 6_000  # labelled rows of either label that are learned from, at most
+TRAIN = 3_000  # labelled rows of either label that are learned from, at most
 LEXICON = 5_000  # features, at most: those with the most evidence
 ODDS = 8.0  # of a feature between toxic and other documents, at least
 EVIDENCE = 10.0  # log likelihood ratio of a feature against chance, at least
+ENDINGS = 3  # different words that a beginning stands for, at least
+STARTS = (4, 5, 6)
 REACH = 4
 
 #: Word classes of the grammar. Learned words add to "insult" only.
@@ -52,23 +55,9 @@ CLASSES = {
 }
 SEED_WEIGHT, THREAT_WEIGHT = 2.0, 3.0
 WITH_TARGET, NEGATED, REPORTED = 1.25, 0.4, 0.6
-_WORD = re.compile(r"[^\W\d_](?:[\w'’-]*\w)?", re.UNICODE)
 _ENDS, _STRIP = ".!?;:\n", ".,!?;:\"'()[]{}<>«»“”„*|%#$&"
 
 
-def features(text: str | None) -> set[str]:
-    """The words of a text, and their beginnings of four to six letters, marked by ``^``."""
-    words = {w.strip(_STRIP) for w in (text or "").lower().split()}
-    return words | {f"^{w[:n]}" for w in words for n in (4, 5, 6) if len(w) > n}
-
-
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [sorted(f for f in features(t) if f) for t in batch["text"]]
-        toxic = np.repeat(batch["toxic"].to_numpy(), [len(f) for f in found])
-        yield pd.DataFrame({"feature": [x for f in found for x in f], "toxic": toxic})
-
-
 class Grammar:
     """The composed transducers. ``lexicon``: weight of each insulting word or ``^`` beginning."""
 
@@ -83,12 +72,13 @@ class Grammar:
         word = token.strip(_STRIP)
         if word in self.fixed:
             return self.fixed[word], THREAT_WEIGHT if self.fixed[word] == "threat" else 0.0
-        weight = max(self.lexicon.get(word, 0.0), self.seeds.get(word, 0.0), *[self.lexicon.get(f"^{word[:n]}", 0.0) for n in (4, 5, 6) if len(word) > n], 0.0)
+        weight = max(self.lexicon.get(word, 0.0), self.seeds.get(word, 0.0), *[self.lexicon.get(f"^{word[:n]}", 0.0) for n in STARTS if len(word) > n], 0.0)
         return ("insult", weight) if weight else None
 
     def weight(self, text: str | None) -> tuple[float, int]:
         """Sum of the weights of the matched clauses, and their number."""
         words = (text or "").lower().replace("\n", " \n ").split(" ")
+        seen = set()
         known = self.known
         if len(known) > 500_000:
             known.clear()
@@ -111,13 +101,15 @@ class Grammar:
                 start -= 1
             while end < len(words) - 1 and (words[end] == "" or words[end][-1:] not in _ENDS):
                 end += 1
-            own = self.clause([w for w in words[start : end + 1] if w.strip()])
+            clause = tuple(w for w in words[start : end + 1] if w.strip())
             done = end
+            own = 0.0 if clause in seen else self.clause(clause)
+            seen.add(clause)
             if own > 0:
                 total, clauses = total + own, clauses + 1
         return total, clauses
 
-    def clause(self, words: list[str]) -> float:
+    def clause(self, words: tuple[str, ...]) -> float:
         """Weight of one clause: the transducers run over it side by side."""
         kinds = [self.known.get(w) or self.read(w) for w in words]
         at = {k: [i for i, x in enumerate(kinds) if x and x[0] == k] for k in ("target", "negation")}
@@ -140,17 +132,17 @@ class Grammar:
         z = self.slope * (min(weight, 50.0) - self.middle)
         return 1 / (1 + math.exp(-z))
 
-    def fit(self, weights: list[float], toxic: list[int]) -> None:
-        """Slope and middle by Newton's method on the penalised likelihood."""
+    def fit(self, weights: list[float], toxic: list[int], counts: dict[int, float]) -> None:
+        """Slope and middle by Newton's method on the penalised likelihood. ``counts``: how many rows a row of each label stands for."""
         if len(set(toxic)) < 2:
             return
         x, y = np.minimum(np.array(weights, float), 50.0), np.array(toxic, float)
         design = np.stack([np.ones_like(x), x], axis=1)
-        beta = np.array([-2.0, 1.0])
+        beta, each = np.array([-2.0, 1.0]), np.where(y == 1, counts[1], counts[0])
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-            grad = design.T @ (y - p) - 0.05 * (beta - [-2.0, 1.0])
-            hess = (design * (p * (1 - p))[:, None]).T @ design + 0.05 * np.eye(2)
+            grad = design.T @ (each * (y - p)) - 0.05 * (beta - [-2.0, 1.0])
+            hess = (design * (each * p * (1 - p))[:, None]).T @ design + 0.05 * np.eye(2)
             beta = beta + np.clip(np.linalg.solve(hess, grad), -1, 1)
         if beta[1] > 0.05:
             self.slope, self.middle = float(beta[1]), float(-beta[0] / beta[1])
@@ -161,25 +153,41 @@ def split_of(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
+def features(rows: DataFrame) -> DataFrame:
+    """feature, p, n, words: words of ``rows`` (text, toxic), and beginnings, marked by ``^``; in how many contexts of
+    toxic and of other texts they stand; and how many words of toxic texts are behind it. A context is the words
+    before and after, so what copies of a text repeat counts once."""
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
+    at = lambda w, i: F.coalesce(F.get(w, i), F.lit(""))
+    rows = rows.withColumn("w", words)
+    pairs = F.transform("w", lambda x, i: F.struct(F.btrim(x, F.lit(_STRIP)).alias("word"), F.xxhash64(at(F.col("w"), i - 1), at(F.col("w"), i + 1)).alias("context")))
+    pairs = rows.select("toxic", F.explode(pairs).alias("x")).select("toxic", "x.*").filter("word <> ''").distinct()
+    own = pairs.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
+    starts = F.filter(F.array(*[F.when(F.length("word") > k, F.concat(F.lit("^"), F.substring("word", 1, k))) for k in STARTS]), lambda x: x.isNotNull())
+    starts = own.select("p", "n", F.explode(starts).alias("feature")).groupBy("feature")
+    starts = starts.agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum((F.col("p") > 0).cast("int")).alias("words"))
+    return own.select(F.col("word").alias("feature"), "p", "n", F.lit(1).alias("words")).unionByName(starts)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Grammar:
     """The grammar learned from the labelled rows of ``docs`` that are not held out."""
     spark = docs.sparkSession
     small_batches(spark)
     marked = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.filter(split_of() != 2).withColumn("hash", F.xxhash64("doc_id"))
+    every = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     pick = lambda y: marked.filter(F.col("toxic") == y).orderBy("hash", "doc_id").limit(TRAIN)
     marked = pick(0).union(pick(1)).select("doc_id", "toxic")  # 2 TRAIN rows at most
     rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", "toxic")
-    total = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    bad, good = total.get(1, 0), total.get(0, 0)
+    bad, good = min(TRAIN, every.get(1, 0)), min(TRAIN, every.get(0, 0))
     if not bad or not good:
         return Grammar({})
-    counts = rows.mapInPandas(_features, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
+    found = features(rows)
     odds = ((F.col("p") + 0.5) / (bad + 1)) / ((F.col("n") + 0.5) / (good + 1))
     share = bad / (bad + good)
     part = lambda c, at: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (F.col("p") + F.col("n")) / at)).otherwise(0.0)
-    counts = counts.withColumns({"odds": odds, "evidence": part("p", share) + part("n", 1 - share)})
-    chosen = counts.filter((F.col("odds") >= ODDS) & (F.col("evidence") >= EVIDENCE))
+    found = found.withColumns({"odds": odds, "evidence": part("p", share) + part("n", 1 - share)})
+    chosen = found.filter((F.col("odds") >= ODDS) & (F.col("evidence") >= EVIDENCE)).filter(F.col("words") >= F.when(F.col("feature").startswith("^"), ENDINGS).otherwise(1))
     chosen = chosen.orderBy(F.desc("evidence"), "feature").limit(LEXICON).collect()
     grammar = Grammar({r["feature"]: min(6.0, math.log(r["odds"])) for r in chosen})
     lexicon = grammar.lexicon
@@ -190,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Grammar:
             yield pd.DataFrame({"weight": [own.weight(t)[0] for t in batch["text"]], "toxic": batch["toxic"]})
 
     pairs = rows.mapInPandas(weighed, "weight double, toxic int").collect()  # two numbers a training row
-    grammar.fit([r["weight"] for r in pairs], [r["toxic"] for r in pairs])
+    grammar.fit([r["weight"] for r in pairs], [r["toxic"] for r in pairs], {0: every[0] / good, 1: every[1] / bad})
     return grammar
 
 
