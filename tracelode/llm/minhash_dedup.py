@@ -12,8 +12,8 @@ of at least 0.8 are linked; classes are the connected components.
 * Bands: r coordinates make a bucket key. Equal texts are one node before anything is joined, so a
   group of exact copies costs one row. In a bucket every member is compared with one hub, the member
   that shares most buckets with others, never with all the others; links are verified on whole texts.
-* What the hubs leave open, pairs of one bucket that are still in different components, is compared
-  as pairs of the smaller components with the rest: after it no candidate pair is undecided.
+* What the hubs leave open, pairs of one bucket that are still in different components, passes an
+  exact bound on what the two can share, and is verified: after it no candidate pair is undecided.
 
 Defined results: a null text counts as empty, all empty texts are copies of each other; a null
 ``doc_id`` is kept, and is never a class id while the class has another; repeated rows are copies;
@@ -22,12 +22,13 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, table
@@ -36,6 +37,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Ids up to this many (8 bytes each) are broadcast; above, the join is shuffled.
 BROADCAST_IDS = 500_000
+#: An element that more members of a hub have counts as the hub's.
+COMMON = 32
 _CHARS = 1_500_000  # of text handled at once in a worker
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -213,13 +216,77 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[good, ["a", "b"]]
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough. ``texts``: node, text of each node."""
+def _paired(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b and others) with text_a and text_b; rows of one b are together. ``texts``: node, text."""
     small_batches(pairs.sparkSession)
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(_verified, "a long, b long")
+    return pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar enough."""
+    return _paired(pairs, texts).select("a", "b", "text_a", "text_b").mapInPandas(_verified, "a long, b long")
+
+
+def _profiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at, hub = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        size, common, rest = [], [], []
+        for b, text_a, text_b in zip(batch["b"], batch["text_a"], batch["text_b"], strict=True):
+            if b != at:
+                at, hub = b, shingles([text_b])[0]
+            own = shingles([text_a])[0]
+            other = np.setdiff1d(own, hub, assume_unique=True)
+            size.append(len(own))
+            common.append(len(own) - len(other))
+            rest.append(other.view(np.int64))
+        yield batch[["b", "a", "label", "minor"]].assign(n=size, common=common, rest=rest)
+
+
+def _open_pairs(star: DataFrame, label: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar and that no hub has decided. All members of a bucket
+    were compared with its hub, so pairs of members of one hub are all there is.
+
+    Two members x and y of hub h, of n shingles each, have at most min(c(x), c(y)) + s in common, where c counts those
+    that a set V holds and s those outside V that both have. For a similarity of t that must be t / (1 + t) of n(x) + n(y).
+    V is the hub, and whatever else more than ``COMMON`` members have. So a pair passes only if it shares an element
+    that few members have, or if it passes with s = 0, which its sizes tell. Both are joins with short lists: copies
+    that differ from the hub, and so from each other, are never paired."""
+    member = star.join(label.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    parts = member.groupBy("b", "label").agg(F.count(F.lit(1)).alias("k"))
+    major = F.max(F.struct("k", "label")).getField("label")
+    open_ = parts.groupBy("b").agg(major.alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("b", "major")
+    member = cut(member.join(open_, "b").select("a", "b", "label", (F.col("label") != F.col("major")).alias("minor")), "open")
+    kinds = "b long, a long, label long, minor boolean, n long, common long, rest array<long>"
+    profile = cut(_paired(member, texts(member)).mapInPandas(_profiled, kinds), "profiles")
+    outside = profile.select("b", "a", F.explode("rest").alias("element"))
+    often = outside.groupBy("b", "element").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    outside = cut(outside.join(often, ["b", "element"]), "outside")
+    more = outside.filter(F.col("k") > COMMON).groupBy("b", "a").agg(F.count(F.lit(1)).alias("more"))
+    held = (F.col("common") + F.coalesce("more", F.lit(0))).alias("c")
+    sizes = cut(profile.join(more, ["b", "a"], "left").select("b", "a", "label", "minor", "n", held), "sizes")
+    bound = (1 + SIMILARITY) / SIMILARITY
+    differ = (F.col("x.label") != F.col("y.label")) & (~F.col("y.minor") | (F.col("x.a") < F.col("y.a")))
+
+    def enough(shared: Column) -> Column:
+        return F.col("x.n") + F.col("y.n") <= bound * (F.least("x.c", "y.c") + shared) + 1e-6
+
+    # pairs whose sizes allow it though they share nothing outside V: sizes in classes of two per cent
+    size = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.02)).cast("int")
+    low, high = F.col("n") * SIMILARITY, F.least(F.col("n") / SIMILARITY, bound * F.col("c") - F.col("n"))
+    reach = sizes.filter("minor").filter(high >= low).withColumn("size", F.explode(F.sequence(size(low), size(high) + 1))).alias("x")
+    fits = reach.join(sizes.withColumn("size", size(F.col("n"))).alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.size") == F.col("y.size")) & differ & enough(F.lit(0)))
+    # pairs that share what few members have
+    few = outside.filter(F.col("k") <= COMMON).select("b", "a", "element")
+    rows = few.join(sizes, ["b", "a"])
+    x, y = rows.filter("minor").alias("x"), rows.alias("y")
+    near = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.element") == F.col("y.element")) & differ)
+    near = near.groupBy("x.b", "x.a", "x.n", "x.c", F.col("y.a").alias("ya"), F.col("y.n").alias("yn"), F.col("y.c").alias("yc")).agg(F.count(F.lit(1)).alias("shared"))
+    near = near.filter(F.col("n") + F.col("yn") <= bound * (F.least("c", "yc") + F.col("shared")) + 1e-6)
+    pair = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+    both = fits.select(*pair(F.col("x.a"), F.col("y.a"))).union(near.select(*pair(F.col("a"), F.col("ya")))).distinct()
+    return both.join(star.select(*pair(F.col("a"), F.col("b"))), ["a", "b"], "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,15 +333,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     edges = cut(one_each(_verify(star, texts(star))), "edges")
     label = components(edges)
-    # what is still open: pairs of one bucket in different components
-    known = member.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    parts = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    open_ = parts.groupBy("key").agg(F.max(F.struct("n", "label")).getField("label").alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "major")
-    left = cut(known.join(open_, "key"), "open")
-    few = left.filter("label <> major").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    pairs = few.join(left, "key").filter("label <> lx and (label = major or node > x)").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = cut(_open_pairs(star, label, texts), "pairs")
     if not pairs.isEmpty():
         more = cut(one_each(_verify(pairs, texts(pairs))), "edges")
         if not more.isEmpty():
