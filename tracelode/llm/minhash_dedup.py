@@ -325,7 +325,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def texts(pairs: DataFrame) -> DataFrame:
         """The texts of the nodes of the pairs, of the first document of each."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node")
+        ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct())
+        wanted = cut(ends.distinct().join(firsts, "node"), "wanted")
         if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
         here = own.join(wanted, (own.node == wanted.node) & own.doc_id.eqNullSafe(wanted["first"]), "left_semi")
