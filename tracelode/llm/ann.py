@@ -36,7 +36,7 @@ TRAIN = 20_000
 ETA = 4.0
 KEEP = 200  # entries of a block that are ranked again, for each query
 BLOCK = 8_192  # entries of a block, about
-QUERIES = 1_024  # of a block
+QUERIES = 4_096  # of a block of a cell
 PROBES = 64  # cells that a query visits
 ENTRIES_A_CELL = 4_096
 
@@ -162,8 +162,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     size = {r["cell"]: -(-r["count"] // BLOCK) for r in index.groupBy("cell").count().collect()}  # a number a cell
     split = F.create_map(*[F.lit(x) for pair in size.items() for x in pair])
     index = index.withColumn("part", F.pmod(F.xxhash64("same"), F.element_at(split, F.col("cell"))).cast("int"))
-    blocks = max(1, -(-asked.count() // QUERIES))
-
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             q = np.array(batch["q"].tolist())
@@ -173,8 +171,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             yield pd.DataFrame({"query_id": batch["query_id"].to_numpy()[at], "q": [batch["q"].iloc[i] for i in at], "cell": np.array([c for _, c, _ in of], np.int32), "part": np.array([p for _, _, p in of], np.int32)})
 
     asked = asked.mapInPandas(probed, "query_id long, q array<double>, cell int, part int")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # of a cell that many queries visit the entries are met by blocks of its queries
+    visits = {r["cell"]: -(-r["count"] // QUERIES) for r in asked.filter("part = 0").groupBy("cell").count().collect()}  # a number a cell
+    if not visits:
+        return spark.createDataFrame([], empty)
+    blocks = F.element_at(F.create_map(*[F.lit(x) for pair in visits.items() for x in pair]), F.col("cell"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks).cast("int"))
+    index = index.filter(blocks.isNotNull()).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
 
     def searched(key: tuple, rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(wanted):
@@ -196,8 +199,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 out += [(query, v, -s) for s, v in found[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    left = index.groupBy("cell", "part") if blocks == 1 else index.withColumn("block", every).groupBy("cell", "part", "block")
-    right = asked.groupBy("cell", "part") if blocks == 1 else asked.groupBy("cell", "part", "block")
+    left, right = index.groupBy("cell", "part", "block"), asked.groupBy("cell", "part", "block")
     found = left.cogroup(right).applyInPandas(searched, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

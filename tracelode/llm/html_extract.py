@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 SIGMA = 1.0  # lines
-MOST = 0.6  # of the selected characters that a region holds
+APART = 0.7  # of the clusters' logarithms, at least
+IN_ARTICLE, IN_OTHER = 0.5, 0.9  # of the selected characters that a region of either kind holds, at least
 
 #: HTML's element names, by their role here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -168,7 +169,7 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
 
 
 def threshold(logs: list[float]) -> float:
-    """The middle between two clusters; of equal values that value."""
+    """The middle between two clusters; if they aren't apart all values are one cluster, and the least is given."""
     low, high = min(logs), max(logs)
     for _ in range(30):
         middle = (low + high) / 2
@@ -179,7 +180,7 @@ def threshold(logs: list[float]) -> float:
         if new == (low, high):
             break
         low, high = new
-    return min((low + high) / 2, max(logs))
+    return (low + high) / 2 if high - low >= APART else min(logs)
 
 
 def extract(html: str | None) -> tuple[str, int]:
@@ -204,9 +205,8 @@ def extract(html: str | None) -> tuple[str, int]:
             total += len(text)
             for c in line.chain:
                 weight[c] = weight.get(c, 0) + len(text)
-    holding = [c for c, w in weight.items() if w >= MOST * total]
-    articles = [c for c in holding if parser.kinds[c] in ARTICLE]
-    plain = [c for c in holding if parser.kinds[c] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre", "html", "body")]
+    articles = [c for c, w in weight.items() if w >= IN_ARTICLE * total and parser.kinds[c] in ARTICLE]
+    plain = [c for c, w in weight.items() if w >= IN_OTHER * total and parser.kinds[c] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre", "html", "body")]
     if articles:
         region = max(articles)
     elif plain:

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, shared_dir, small_batches, table
@@ -36,7 +36,7 @@ from .common import cut, shared_dir, small_batches, table
 WIDTH = 192
 SHARD_BYTES = 64 << 20
 HEADER = 33  # the signature and the first chunk
-LEVEL = 3  # of compression
+LEVEL = 6  # of compression
 _SIGN = b"\x89PNG\r\n\x1a\n"
 
 
@@ -90,13 +90,13 @@ class _Writer:
         self.fs, self.root = pyarrow.fs.FileSystem.from_uri(folder)
         self.folder, self.out = folder, None
 
-    def put(self, digest: str, data: bytes) -> tuple[str, int]:
+    def put(self, digest: bytes, data: bytes) -> tuple[str, int]:
         if self.out is None:
             self.name = f"{uuid.uuid4().hex}.tar"
             self.out, self.at, self.held = self.fs.open_output_stream(f"{self.root}/{self.name}"), 0, {}
         if digest in self.held:
             return self.name, self.held[digest]
-        info = tarfile.TarInfo(f"{digest}.png")
+        info = tarfile.TarInfo(f"{digest.hex()}.png")
         info.size = len(data)
         head = info.tobuf(tarfile.USTAR_FORMAT)
         self.out.write(head + data + b"\0" * (-len(data) % tarfile.BLOCKSIZE))
@@ -116,17 +116,17 @@ class _Writer:
 
 def store(docs: DataFrame, folder: str) -> DataFrame:
     """Stores the payload of every row of ``docs`` (doc_id, text) in shards below ``folder``: doc_id, digest, n_bytes,
-    shard, offset, length. The index is written; it holds however often it is read."""
+    shard, offset, length. The index is written; it holds however often it is read. Digests are bytes."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer = _Writer(folder)
-        known: dict[str, tuple[str, int, int]] = {}
+        known: dict[bytes, tuple[str, int, int]] = {}
         for batch in batches:
             out = []
             for text in batch["text"]:
                 data = payload(text)
-                digest = hashlib.sha256(data).hexdigest()
+                digest = hashlib.sha256(data).digest()
                 if digest not in known:
                     if len(known) > 200_000:
                         known.clear()
@@ -139,7 +139,7 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
 
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    index = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, digest string, n_bytes long, shard string, offset long, length long")
+    index = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, digest binary, n_bytes long, shard string, offset long, length long")
     return cut(index, "media-index")
 
 
@@ -171,7 +171,7 @@ def metadata(where: DataFrame, folder: str) -> DataFrame:
         for batch, got in _ranges(fs, root, batches, HEADER):
             yield batch.assign(feature=[header(x) for x in got])
 
-    return _by_shard(where).mapInPandas(run, "digest string, shard string, offset long, length long, feature string")
+    return _by_shard(where).mapInPandas(run, "digest binary, shard string, offset long, length long, feature string")
 
 
 def read_payloads(where: DataFrame, folder: str) -> DataFrame:
@@ -183,11 +183,11 @@ def read_payloads(where: DataFrame, folder: str) -> DataFrame:
             out = []
             for png in got:
                 data = from_png(png)
-                out.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(png), hashlib.sha256(png).hexdigest()))
+                out.append((len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-16:]), len(png), hashlib.sha256(png).digest()))
             rows = pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
             yield pd.concat([batch[["digest", "feature"]].reset_index(drop=True), rows], axis=1)
 
-    kinds = "digest string, feature string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+    kinds = "digest binary, feature string, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary"
     return metadata(where, folder).mapInPandas(run, kinds)
 
 
@@ -206,7 +206,11 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     return index.select("doc_id", "n_bytes", "digest").join(where, "digest").join(read, "digest")
 
 
+def _hex(name: str) -> Column:
+    return F.lower(F.hex(name)).alias(name)
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, offset, length."""
     out = media_columns(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "offset", "length")
+    return out.select("doc_id", "n_bytes", "payload_bytes", _hex("payload_sha256"), "tail_crc32", "media_bytes", _hex("media_sha256"), "feature", "offset", "length")

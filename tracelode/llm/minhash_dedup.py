@@ -15,7 +15,7 @@ of at least 0.8 are linked; classes are the connected components.
 * What the hubs leave open, pairs of one bucket that are still in different components, passes an
   exact bound on what the two can share, and is verified: after it no candidate pair is undecided.
 
-Defined results: a null text counts as empty, all empty texts are copies of each other; a null
+Defined results: a null text, or one of white space, counts as empty, all empty texts are copies of each other; a null
 ``doc_id`` is kept, and is never a class id while the class has another; repeated rows are copies;
 other columns are ignored; an empty table gives an empty result.
 """
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, free_name, small_batches, table
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -305,12 +305,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _plain(text: Column) -> Column:
+    """The text; empty where it has no words."""
+    return F.when(text.rlike("\\S"), text).otherwise("")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, node (hash of the text), class_id (the least doc_id of the class), class_size for every
     row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    own = docs.select("doc_id", _plain(F.col("text")).alias("text")).withColumn("node", F.xxhash64("text"))
     nodes = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
     signed = cut(own.select("node", "text").filter("text rlike '\\\\S'").mapInPandas(_signed, "node long, bands array<long>"), "signed")
     member = signed.groupBy("node").agg(F.any_value("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
@@ -355,14 +360,15 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     repeat text and doc_id, one."""
     found = near_duplicates(docs)
     stay = cut(found.filter("doc_id <=> class_id").groupBy("doc_id", "node").count(), "stay")
-    node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    node = F.xxhash64(_plain(F.col("text")))
     twice = not stay.filter("count > 1").isEmpty()
-    kept = docs.alias("d").withColumn("__node", node)
-    stay = stay.withColumnsRenamed({"doc_id": "__id", "node": "__of"}).select("__id", "__of")
-    kept = kept.join(stay, kept["doc_id"].eqNullSafe(stay["__id"]) & (kept["__node"] == stay["__of"]), "left_semi")
+    name = free_name(docs, "node_of")
+    kept = docs.withColumn(name, node)
+    stay = stay.select(F.col("doc_id").alias("stay_id"), F.col("node").alias("stay_node"))
+    kept = kept.join(stay, kept["doc_id"].eqNullSafe(stay["stay_id"]) & (kept[name] == stay["stay_node"]), "left_semi")
     if twice:
-        kept = kept.dropDuplicates(["doc_id", "__node"])
-    return kept.drop("__node")
+        kept = kept.dropDuplicates(["doc_id", name])
+    return kept.drop(name)
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

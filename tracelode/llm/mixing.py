@@ -6,14 +6,14 @@ form: a target is min(cap, weight times level), and the level makes the targets
 
 A source of target t and size s takes each document floor(t / s) whole times. The rest of t is a
 sample of unequal probabilities: a document's inclusion chance is proportional to its size, under 1,
-so that the expected words are those wanted, and documents are ranked by the odds of a uniform number over the odds of that chance (Pareto order
-sampling); those of lowest rank make the sample. Its fixed size is in words: documents are taken in
-order of rank while they fit what is left. A document that doesn't fit is passed over, and later
-ones fill what is left.
-
-Ranks fall into bins, so only sums per bin are gathered; whole bins are taken up
-to the bin where the target falls, and the rows of that bin and of the ``FILL`` bins after it are
-the only ones that are ranked one by one. The uniform numbers are hashes of doc_id and text, so
+so that the expected words are those wanted, and documents are ranked by the odds of a uniform number
+over the odds of that chance (Pareto order sampling); those of lowest rank make the sample. Its fixed
+size is in words: documents are taken in order of rank while they fit what is left. A document that doesn't fit is passed over, later ones
+fill what is left, and at most ``EXCHANGES`` exchanges come nearer still.
+
+Ranks fall into bins, so only sums per bin are gathered; whole bins are taken up to the bin where the
+target falls, and the rows of that bin and of the ``FILL`` bins after it are the only ones that are
+ranked one by one. The uniform numbers are hashes of doc_id and text, so
 reruns agree.
 
 Defined results: a null or empty text has size 0 and is not taken; a null source is a source, the
@@ -23,8 +23,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +34,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 ROWS_A_BIN = 200  # about
 FILL = 3
-WORD = r"[^\x20\x09-\x0D]+"
+EXCHANGES = 8
 
 
 def words(text: Column) -> Column:
@@ -62,18 +61,31 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame
 
 
 def _take(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rows of one source's open bins, taken by rank while they fit."""
+    """The rows of one source's open bins, taken by rank while they fit; then the one addition or exchange that
+    comes nearest to what is left, while there is one that comes nearer."""
     rows = rows.sort_values(["rank", "row"], kind="stable")
-    left, taken = float(rows["left"].iloc[0]), []
-    for size in rows["size"]:
-        fits = size <= left
-        taken.append(fits)
-        left -= size * fits
-    # one more if that comes nearer to the target
-    short = [(s, i) for i, (s, t) in enumerate(zip(rows["size"], taken, strict=True)) if not t]
-    if short and abs(left - min(short)[0]) < left:
-        taken[min(short)[1]] = True
-    return pd.DataFrame({"row": rows["row"].to_numpy(), "extra": pd.array([int(t) for t in taken], dtype="int32")})
+    size, left = rows["size"].to_numpy(), float(rows["left"].iloc[0])
+    taken = np.zeros(len(size), bool)
+    for i, n in enumerate(size):
+        if n <= left:
+            taken[i] = True
+            left -= n
+    for _ in range(EXCHANGES):
+        inside, outside = np.append(np.flatnonzero(taken), -1), np.flatnonzero(~taken)  # -1: nothing is given back
+        if not len(outside):
+            break
+        order = outside[np.argsort(size[outside], kind="stable")]
+        back = np.where(inside >= 0, size[inside], 0)
+        at = np.searchsorted(size[order], back + left)
+        best = min((abs(left + b - size[order[j]]), i, order[j]) for i, b, k in zip(inside.tolist(), back.tolist(), at.tolist(), strict=True) for j in (k - 1, k) if 0 <= j < len(order))
+        if best[0] >= abs(left):
+            break
+        _, i, j = best
+        left += (size[i] if i >= 0 else 0) - size[j]
+        taken[j] = True
+        if i >= 0:
+            taken[i] = False
+    return pd.DataFrame({"row": rows["row"].to_numpy(), "extra": taken.astype(np.int32)})
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:

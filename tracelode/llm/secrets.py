@@ -9,10 +9,12 @@ base36, base64); a token of letters of one case, or a word with a capital, fits
 characters' places in that alphabet are tested against uniform independent draws:
 
 * chi-squared over eight equal cells of the alphabet,
+* chi-squared over kinds of characters (vowels, frequent consonants, other small letters, capitals,
+  digits and signs), each weighed by how much of the alphabet it is,
 * runs above and below the alphabet's middle, two-sided,
 * serial correlation at lag one, two-sided.
 
-The p-value of a token is the least of the three times three. Tokens of one encoding and one class
+The p-value of a token is the least of the four times four. Tokens of one encoding and one class
 of length (powers of two) are a family: the Benjamini-Hochberg rule at ``RATE`` over all tokens of
 the corpus finds those that are not random, and what it doesn't reject is reported. As long tokens
 have far more power than short ones, each class of length has its own threshold. P-values are
@@ -88,19 +90,38 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
 
 
+def _chi_tail(x: Column, free: float) -> Column:
+    """About the chance of a chi-squared value above x (cube root form)."""
+    return _tail((F.pow(x / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / (2 / (9 * free)) ** 0.5)
+
+
+def _kind(c: str) -> str:
+    """Kind of a character: written natural text has its own shares of them."""
+    if c in "aeiou":
+        return "v"
+    if c in "tnsrhld":
+        return "c"
+    return "o" if c.islower() else "U" if c.isupper() else "0"
+
+
 def _battery(token: Column, alphabet: str) -> Column:
     """P-value of the token's characters as independent uniform draws from ``alphabet``."""
     own = F.rtrim(token, F.lit("="))
     size = float(len(alphabet) if alphabet != _ALPHABETS["base64"] else 64)
     at = F.transform(F.split(own, ""), lambda c: F.least(F.instr(F.lit(alphabet), c).cast("double") - 1, F.lit(size - 1)))
 
+    kinds = "".join(_kind(c) for c in alphabet)
+    shape = F.translate(own, alphabet, kinds)
+
     def tests(v: Column) -> Column:
         n = F.size(v).cast("double")
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
         counts = F.transform(F.array([F.lit(float(i)) for i in range(_CELLS)]), lambda i: F.size(F.filter(v, lambda x: F.floor(x * _CELLS / size) == i)).cast("double"))
         chi = total(F.transform(counts, lambda c: (c - n / _CELLS) * (c - n / _CELLS) / (n / _CELLS)))
-        free = _CELLS - 1.0
-        p_chi = _tail((F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / (2 / (9 * free)) ** 0.5)
+        p_chi = _chi_tail(chi, _CELLS - 1.0)
+        parts = {k: kinds[: int(size)].count(k) / size for k in sorted(set(kinds))}
+        seen = {k: n - F.length(F.replace(shape, F.lit(k), F.lit(""))) for k in parts}
+        p_kinds = _chi_tail(sum((seen[k] - n * p) * (seen[k] - n * p) / (n * p) for k, p in parts.items()), len(parts) - 1.0)
         pairs = F.zip_with(F.slice(v, 2, F.size(v) - 1), F.slice(v, F.lit(1), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         high = total(F.transform(v, lambda x: (x >= size / 2).cast("double")))
         runs = 1 + total(F.transform(pairs, lambda p: ((p["a"] >= size / 2) != (p["b"] >= size / 2)).cast("double")))
@@ -111,7 +132,7 @@ def _battery(token: Column, alphabet: str) -> Column:
         square = total(F.transform(v, lambda x: (x - mid) * (x - mid)))
         lag = total(F.transform(pairs, lambda p: (p["a"] - mid) * (p["b"] - mid)))
         p_serial = F.when(square > 0, 2 * _tail(F.abs(lag / F.greatest(square, F.lit(1e-9))) * F.sqrt(n))).otherwise(0.0)
-        return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+        return F.least(F.lit(1.0), 4 * F.least(p_chi, p_kinds, p_runs, p_serial))
 
     return tests(at)
 

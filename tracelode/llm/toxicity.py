@@ -61,7 +61,7 @@ _ENDS, _STRIP = ".!?;:\n", ".,!?;:\"'()[]{}<>«»“”„*|%#$&"
 class Grammar:
     """The composed transducers. ``lexicon``: weight of each insulting word or ``^`` beginning."""
 
-    def __init__(self, lexicon: dict[str, float], slope: float = 1.0, middle: float = 2.0) -> None:
+    def __init__(self, lexicon: dict[str, float], slope: float = 1.0, middle: float = 2.5) -> None:
         self.lexicon, self.slope, self.middle = lexicon, slope, middle
         self.fixed = {w: k for k in ("target", "negation", "report", "threat") for w in CLASSES[k].split()}
         self.seeds = dict.fromkeys(CLASSES["insult"].split(), SEED_WEIGHT)
@@ -144,7 +144,8 @@ class Grammar:
             grad = design.T @ (each * (y - p)) - 0.05 * (beta - [-2.0, 1.0])
             hess = (design * (each * p * (1 - p))[:, None]).T @ design + 0.05 * np.eye(2)
             beta = beta + np.clip(np.linalg.solve(hess, grad), -1, 1)
-        if beta[1] > 0.05:
+        # with too few rows to tell, a text without a matched clause might seem toxic: what was given then holds
+        if beta[1] > 0.05 and beta[0] < -1.5:
             self.slope, self.middle = float(beta[1]), float(-beta[0] / beta[1])
 
 
