@@ -188,9 +188,10 @@ def name_rank(name: Column) -> Column:
 
 def clamp(text: Column) -> Column:
     """At most 65 535 bytes, cut between characters."""
-    cut = F.decode(F.substring(F.encode(text, "UTF-8"), 1, MAX_BYTES), "UTF-8")
-    clean = F.regexp_replace(cut, "�+$", "")
-    return F.when(F.octet_length(text) > MAX_BYTES, clean).otherwise(text)
+    data = F.encode(text, "UTF-8")
+    inside = lambda at: F.hex(F.substring(data, at, 1)).between("80", "BF")  # noqa: E731  a character goes on here
+    end = F.when(~inside(MAX_BYTES + 1), MAX_BYTES).when(~inside(MAX_BYTES), MAX_BYTES - 1).when(~inside(MAX_BYTES - 1), MAX_BYTES - 2).otherwise(MAX_BYTES - 3)
+    return F.when(F.octet_length(text) > MAX_BYTES, F.decode(F.substring(data, F.lit(1), end), "UTF-8")).otherwise(text)
 
 
 def passes(path: Column, in_: str | None = None, not_in: str | None = None) -> Column | None:

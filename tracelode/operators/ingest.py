@@ -12,15 +12,16 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import scalar as S
 from ..functions.render import Types, qualified_name
-from ..schema import CALL, DEF, FIELD, FUNCTION, REF, UNKNOWN, Graph
+from ..schema import CALL, DEF, FIELD, REF, UNKNOWN, Graph
 from .build import assemble, best_name, file_ids
 from .intervals import innermost
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def marked_name(code: pd.Series) -> pd.Series:
     return code.map(lambda c: qualified_name(bytes(c)) if c is not None else None)
 
@@ -77,13 +78,13 @@ def _bridged(rows: DataFrame, bridge: DataFrame, *columns: str) -> DataFrame:
 
 
 def sightings(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """sym, kind, lang, name of every mention of a symbol."""
+    """cu_id, sym, kind, lang, name of every mention of a symbol."""
     value = F.col("fact_value").cast("string")
     nodes = rows.filter("edge_kind = '' and fact_name = '/kythe/node/kind'").filter(value != "anchor")
-    nodes = nodes.select("sym", S.node_kind(value).alias("kind"), S.language(F.col("source.language")).alias("lang"), F.col("key").alias("name"))
+    nodes = nodes.select("cu_id", "sym", S.node_kind(value).alias("kind"), S.language(F.col("source.language")).alias("lang"), F.col("key").alias("name"))
     fields = rows.filter("edge_kind = '' and fact_name = '/kythe/subkind'").filter(value.isin("field", "constant"))
-    fields = fields.select("sym", F.lit(FIELD).alias("kind"), F.lit(0).alias("lang"), F.lit("").alias("name"))
-    targets = placed.select(F.col("target_sym").alias("sym"), F.lit(UNKNOWN).alias("kind"), "lang", F.col("to").alias("name"))
+    fields = fields.select("cu_id", "sym", F.lit(FIELD).alias("kind"), F.lit(0).alias("lang"), F.lit("").alias("name"))
+    targets = placed.select("cu_id", F.col("target_sym").alias("sym"), F.lit(UNKNOWN).alias("kind"), "lang", F.col("to").alias("name"))
     return nodes.union(fields).union(targets)
 
 
@@ -141,11 +142,13 @@ def rendered(rows: DataFrame) -> DataFrame:
     return slim.groupBy("cu_id").applyInPandas(render, _RENDERED)
 
 
-def raw_tables(entries: DataFrame) -> dict[str, DataFrame]:
-    """The raw rows of all tables, bridged; files are numbered by the rank of their path."""
+def raw_tables(entries: DataFrame, keep_unit: bool = False) -> dict[str, DataFrame]:
+    """The raw rows of all tables, bridged; files are numbered by the rank of their path. ``keep_unit``: rows have the
+    cu_id that they came from, and ``paths`` has the paths of each unit."""
     rows = keyed(entries)
+    unit = ["cu_id"] if keep_unit else []
     placed, bridge = placements(rows), bridges(rows)
-    paths = anchors(rows).select("path").distinct()
+    paths = anchors(rows).select("cu_id", "path").distinct()
     files = file_ids(paths)
     placed = placed.join(files, "path")
     xrefs = _bridged(placed.select("cu_id", F.col("target_sym").alias("sym"), "role", "file", F.col("start").alias("off")), bridge, "sym")
@@ -156,20 +159,21 @@ def raw_tables(entries: DataFrame) -> dict[str, DataFrame]:
     calls = _bridged(attributed(placed), bridge, "caller", "callee")
     text = rendered(rows).withColumn("sym", S.sym_of(F.col("key")))
     text = _bridged(text, bridge, "sym")
-    best = alias.groupBy("sym").agg(best_name("alias").alias("name"))
-    promoted = best.union(text.filter("what = 'super'").select("sym", F.col("value").alias("name")))
-    promoted = promoted.select("sym", F.lit(UNKNOWN).alias("kind"), F.lit(0).alias("lang"), "name")
-    return {
-        "syms": sightings(rows, placed).union(promoted),
-        "aliases": alias.select("sym", "alias"),
+    best = alias.groupBy("cu_id", "sym").agg(best_name("alias").alias("name"))
+    promoted = best.union(text.filter("what = 'super'").select("cu_id", "sym", F.col("value").alias("name")))
+    promoted = promoted.select("cu_id", "sym", F.lit(UNKNOWN).alias("kind"), F.lit(0).alias("lang"), "name")
+    out = {
+        "syms": sightings(rows, placed).union(promoted).select(*unit, "sym", "kind", "lang", "name"),
+        "aliases": alias.select(*unit, "sym", "alias"),
         "files": files.select("file", "path"),
-        "xrefs": xrefs.select("sym", "role", "file", "off"),
-        "inh": inh.select("child", "parent"),
-        "calls": calls.select("caller", "callee", "role"),
-        "childof": childof.select("parent", "child"),
-        "typed": text.filter("what = 'typed'").select("sym", F.col("value").alias("typed")),
-        "sig": text.filter("what = 'sig'").select("sym", F.col("value").alias("sig")),
+        "xrefs": xrefs.select(*unit, "sym", "role", "file", "off"),
+        "inh": inh.select(*unit, "child", "parent"),
+        "calls": calls.select(*unit, "caller", "callee", "role"),
+        "childof": childof.select(*unit, "parent", "child"),
+        "typed": text.filter("what = 'typed'").select(*unit, "sym", F.col("value").alias("typed")),
+        "sig": text.filter("what = 'sig'").select(*unit, "sym", F.col("value").alias("sig")),
     }
+    return out | ({"paths": paths} if keep_unit else {})
 
 
 def attributed(placed: DataFrame) -> DataFrame:
@@ -192,6 +196,3 @@ def run_stats(units: DataFrame) -> DataFrame:
     totals = [F.sum(F.col(c).cast("long")).alias(c) for c in ("ok", "empty", "failed", "entries")]
     tails = F.slice(F.array_sort(F.collect_set(F.when(F.col("failed"), F.col("tail")))), 1, 8)
     return units.groupBy("lang").agg(F.count(F.lit(1)).alias("units"), *totals, tails.alias("tails"))
-
-
-FUNCTION_KIND = FUNCTION

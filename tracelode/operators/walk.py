@@ -34,8 +34,12 @@ def _kept(g: Graph, rows: DataFrame, in_: str | None, not_in: str | None) -> Dat
 
 
 def _copies(g: Graph, nodes: DataFrame) -> DataFrame:
-    """sym, id: every copy of the nodes (sym, id, name): symbols with a name row and a logical key like the node's."""
-    same = g.names.join(F.broadcast(nodes.select("name", "id")), "name").select("sym", "id", "name")
+    """sym, id: every copy of the nodes (sym, id, name): symbols that share a name row with the node (its name or an
+    alias) and its logical key."""
+    nodes = F.broadcast(nodes)
+    called = g.names.join(nodes, g.names["sym"] == nodes["sym"]).select(g.names["name"].alias("shared"), "id", nodes["name"].alias("name"))
+    called = called.union(nodes.select(F.col("name").alias("shared"), "id", "name")).distinct()
+    same = g.names.select(F.col("name").alias("shared"), "sym").join(called, "shared").select("sym", "id", "name")
     same = same.join(g.syms.select("sym", F.col("name").alias("own")), "sym")
     same = same.filter(logical_key(F.col("own")) == logical_key(F.col("name"))).select("sym", "id")
     return nodes.select("sym", "id").union(same).distinct()

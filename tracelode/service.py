@@ -137,12 +137,32 @@ def main(argv: list[str] | None = None) -> int:
     own = sub.add_parser("normalize-kzip")
     own.add_argument("archive")
     own.add_argument("out")
+    own = sub.add_parser("debug-marked-source")
+    own.add_argument("file")
+    own = sub.add_parser("from-kzip")
+    own.add_argument("archive")
+    own.add_argument("--indexer", action="append", default=[], metavar="KIND=COMMAND", help="program of a kind of unit; {sha} and {archive} are filled in")
+    own.add_argument("--langs", type=lambda x: x.split(","))
+    own.add_argument("--in", dest="in_", action="append")
+    own.add_argument("--not-in", action="append")
+    own.add_argument("--cache-dir")
+    own.add_argument("--clean", action="store_true")
     args = vars(parser.parse_args(argv))
+    if args.get("clean") and not args.get("cache_dir"):
+        parser.error("--clean needs --cache-dir")
+    if args["cmd"] == "debug-marked-source":
+        from .functions.render import qualified_name
+
+        with open(args["file"], "rb") as f:
+            print(qualified_name(f.read()))
+        return 0
     spark = SparkSession.builder.getOrCreate()
     cmd = args["cmd"]
     if cmd == "normalize-kzip":
         print(kzip.write_normalized(args["archive"], args["out"]))
         return 0
+    if cmd == "from-kzip":
+        return _from_kzip(spark, args)
     if cmd == "index":
         from .operators.ingest import graph
 
@@ -164,5 +184,39 @@ def main(argv: list[str] | None = None) -> int:
     return 1 if reply["kind"] == "error" else 0
 
 
+def _from_kzip(spark, args: dict) -> int:
+    """An index of an archive's units, by the indexers that are given, with the cache if there is one."""
+    import shlex
+
+    from pyspark.sql import functions as F
+
+    from .operators.ingest import graph
+    from .sources import index, kzip
+    from .sources.cache import UnitCache, build
+
+    programs = dict(x.split("=", 1) for x in args["indexer"])
+    plan = kzip.plan(kzip.read_units(spark, args["archive"]), args["langs"], args["in_"], args["not_in"])
+    plan = plan.filter(F.col("indexer").isin(*programs))
+    if plan.isEmpty():
+        raise SystemExit("no unit passes the filters and has an indexer")
+    plan = plan.withColumn("unit", F.col("unit").withField("argument", kzip.rewritten(F.col("unit.argument"), F.coalesce("path", F.lit("")))))
+    archive = args["archive"]
+
+    def command(unit: dict, sha: str) -> list[str]:
+        kind = kzip.INDEXERS[unit["v_name"]["language"].lower()]
+        return [p.format(sha=sha, archive=archive) for p in shlex.split(programs[kind])]
+
+    if args["cache_dir"]:
+        cache = UnitCache(spark, args["cache_dir"])
+        if args["clean"]:
+            cache.clear()
+        plan = plan.withColumns({"digest": kzip.digest(F.col("indexer"), F.col("unit")), "cu_id": F.col("sha")})
+        g = build(spark, cache, plan, lambda missing: kzip.piped(missing, command))
+    else:
+        g = graph(kzip.piped(plan, command))
+    index.write(g, args["index"])
+    return 0
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

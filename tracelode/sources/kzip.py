@@ -210,8 +210,8 @@ def write_normalized(archive: str, out: str, keep: Callable[[dict], dict | None]
     return n
 
 
-def piped(units: DataFrame, command: Callable[[dict], list[str]]) -> DataFrame:
-    """Entries of an external indexer: ``command`` gives the program and its arguments for a unit, and its standard output
+def piped(units: DataFrame, command: Callable[[dict, str], list[str]]) -> DataFrame:
+    """Entries of an external indexer: ``command`` gives the program and its arguments for a unit and its sha, and its standard output
     is an entry stream. A unit whose program fails gives no rows."""
     import subprocess
 
@@ -221,7 +221,7 @@ def piped(units: DataFrame, command: Callable[[dict], list[str]]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for sha, unit in zip(batch["sha"], batch["unit"], strict=True):
-                done = subprocess.run(command(unit), capture_output=True, check=False)
+                done = subprocess.run(command(unit, sha), capture_output=True, check=False)
                 if done.returncode == 0:
                     rows = [(sha, *one) for one in stream(done.stdout, tolerant=True)]
                     if rows:
