@@ -19,7 +19,6 @@ values; rows that repeat are repeated; other columns are ignored; an empty table
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid
@@ -27,6 +26,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,7 +128,7 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
                 data = payload(text)
                 digest = hashlib.sha256(data).digest()
                 if digest not in known:
-                    if len(known) > 200_000:
+                    if len(known) > 50_000:
                         known.clear()
                     png = to_png(data)
                     known[digest] = (*writer.put(digest, png), len(png))
@@ -149,18 +149,22 @@ def places(index: DataFrame) -> DataFrame:
     return index.groupBy("digest").agg(place.alias("p")).select("digest", "p.*")
 
 
-def _ranges(fs: pyarrow.fs.FileSystem, root: str, batches: Iterator[pd.DataFrame], most: int | None) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
-    """The stored bytes of each row, ``most`` of each at most; a shard stays open over its rows."""
-    name, file = None, None
-    for batch in batches:
-        got = []
+def _ranges(fs: pyarrow.fs.FileSystem, root: str, batches: Iterator[pd.DataFrame], most: tuple[int | None, ...]) -> Iterator[tuple[pd.DataFrame, Iterator[tuple[bytes, ...]]]]:
+    """For each row one read from its place for each of ``most``, of so many bytes at most; a shard stays open over its
+    rows, and rows are read as they are asked for."""
+    opened: dict[str, pyarrow.NativeFile] = {}
+
+    def reads(batch: pd.DataFrame) -> Iterator[tuple[bytes, ...]]:
         for shard, offset, length in zip(batch["shard"], batch["offset"], batch["length"], strict=True):
-            if shard != name:
-                if file is not None:
+            if shard not in opened:
+                for file in opened.values():
                     file.close()
-                name, file = shard, fs.open_input_file(f"{root}/{shard}")
-            got.append(file.read_at(min(length, most or length), offset))
-        yield batch, got
+                opened.clear()
+                opened[shard] = fs.open_input_file(f"{root}/{shard}")
+            yield tuple(opened[shard].read_at(min(length, n or length), offset) for n in most)
+
+    for batch in batches:
+        yield batch, reads(batch)
 
 
 def metadata(where: DataFrame, folder: str) -> DataFrame:
@@ -168,27 +172,27 @@ def metadata(where: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        for batch, got in _ranges(fs, root, batches, HEADER):
-            yield batch.assign(feature=[header(x) for x in got])
+        for batch, got in _ranges(fs, root, batches, (HEADER,)):
+            yield batch.assign(feature=[header(head) for (head,) in got])
 
     return _by_shard(where).mapInPandas(run, "digest binary, shard string, offset long, length long, feature string")
 
 
 def read_payloads(where: DataFrame, folder: str) -> DataFrame:
-    """digest, feature and what the stored bytes hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256."""
+    """digest, feature and what the stored bytes hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256.
+    The header is a range read of its own, as in ``metadata``; both are done by one worker."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        for batch, got in _ranges(fs, root, batches, None):
+        for batch, got in _ranges(fs, root, batches, (HEADER, None)):
             out = []
-            for png in got:
+            for digest, (head, png) in zip(batch["digest"], got, strict=True):
                 data = from_png(png)
-                out.append((len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-16:]), len(png), hashlib.sha256(png).digest()))
-            rows = pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
-            yield pd.concat([batch[["digest", "feature"]].reset_index(drop=True), rows], axis=1)
+                out.append((digest, header(head), len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-16:]), len(png), hashlib.sha256(png).digest()))
+            yield pd.DataFrame(out, columns=["digest", "feature", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
 
     kinds = "digest binary, feature string, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary"
-    return metadata(where, folder).mapInPandas(run, kinds)
+    return _by_shard(where).mapInPandas(run, kinds)
 
 
 def _by_shard(where: DataFrame) -> DataFrame:
