@@ -59,7 +59,7 @@ class _Words(dict):
     """Word to hash; forgets all when it is large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -186,7 +186,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for node in batch["node"]:
             new.append(node not in seen)
             seen.add(node)
-        if len(seen) > 1_000_000:
+        if len(seen) > 200_000:
             seen.clear()
         batch = batch[new]
         texts = batch["text"].tolist()

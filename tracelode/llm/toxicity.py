@@ -80,7 +80,7 @@ class Grammar:
         words = (text or "").lower().replace("\n", " \n ").split(" ")
         seen = set()
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 150_000:
             known.clear()
         hits = []
         for i, token in enumerate(words):
