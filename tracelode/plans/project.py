@@ -5,12 +5,26 @@ Each view is one statement that Spark and DuckDB both take; ids are surrogates,
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.build import least_text, name_rows
 from ..schema import Graph
 
-BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+#: The base tables. With schemas given, reading one takes no job.
+BASE = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
 _OF_REGION = "join nation on {0}_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
 
 VIEWS = {
@@ -59,39 +73,62 @@ def prelude() -> str:
     return "with " + ",\n".join(f"{name} as ({sql})" for name, sql in (VIEWS | DERIVED).items())
 
 
-def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The raw views as DataFrames. Base tables are read by path and named in the statement's own WITH, so nothing is
-    registered in the session."""
-    import re
+class Views(Mapping):
+    """The raw views as DataFrames, each made when it is asked for. The statement names its tables as arguments, so
+    nothing stays registered in the session."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir, self.made = spark, sf_dir, {}
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(BASE[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            sql = VIEWS[name]
+            used = [t for t in BASE if re.search(rf"\b{t}\b", sql)]
+            named = re.sub(rf"\b(from|join) ({'|'.join(used)})\b", r"\1 {\2}", sql)
+            self.made[name] = self.spark.sql(named, **{t: self.table(t) for t in used})
+        return self.made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(VIEWS)
+
+    def __len__(self) -> int:
+        return len(VIEWS)
 
-    out = {}
-    for name, sql in VIEWS.items():
-        used = [t for t in BASE if re.search(rf"\b{t}\b", sql)]
-        ctes = ", ".join(f"{t} as (select * from parquet.`{sf_dir}/{t}.parquet`)" for t in used)
-        out[name] = spark.sql(f"with {ctes} {sql}")
-    return out
+
+def views(spark: SparkSession, sf_dir: str) -> Views:
+    return Views(spark, sf_dir)
 
 
 def signatures(params: DataFrame) -> DataFrame:
     """sym, sig: parameters in order of their ordinal."""
-    from pyspark.sql import functions as F
-
     one = F.struct("ord", "pkey", "ptype", "pname")
     shown = F.transform(F.array_sort(F.collect_list(one)), lambda p: F.concat_ws(" ", p["ptype"], p["pname"]))
     return params.groupBy(F.col("fn").alias("sym")).agg(F.concat(F.lit("o("), F.array_join(shown, ", "), F.lit(")")).alias("sig"))
 
 
+class Projected(Graph):
+    """A graph whose tables are made when they are asked for."""
+
+    def __init__(self, make: dict[str, Callable[[], DataFrame]] | None = None, **tables: DataFrame) -> None:
+        object.__setattr__(self, "make", make or {})
+        for name, df in tables.items():
+            object.__setattr__(self, name, df)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        make = object.__getattribute__(self, "make")
+        if name not in make:
+            raise AttributeError(name)
+        object.__setattr__(self, name, make[name]())
+        return object.__getattribute__(self, name)
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     v = views(spark, sf_dir)
-    syms = v["pg_syms"]
-    return Graph(
-        syms=syms,
-        names=name_rows(syms, v["pg_aliases"]),
-        files=v["pg_files"],
-        xrefs=v["pg_xrefs"],
-        inh=v["pg_inh"],
-        calls=v["pg_calls"],
-        childof=v["pg_childof"],
-        typed=least_text(v["pg_typed_raw"], "typed"),
-        sig=signatures(v["pg_sig_params"]),
-    )
+    make = {t: (lambda t=t: v[f"pg_{t}"]) for t in ("syms", "files", "xrefs", "inh", "calls", "childof")}
+    make["names"] = lambda: name_rows(v["pg_syms"], v["pg_aliases"])
+    make["typed"] = lambda: least_text(v["pg_typed_raw"], "typed")
+    make["sig"] = lambda: signatures(v["pg_sig_params"])
+    return Projected(make)
