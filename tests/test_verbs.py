@@ -113,3 +113,32 @@ def test_two_symbols_of_one_name(spark):
 def test_loop_goes_on_after_bad_lines(g):
     got = list(repl(g, ["", "not json", '{"cmd": "stat"}', '{"cmd": "nope", "name": "x"}', "[1]"]))
     assert len(got) == 4 and '"error"' in got[0] and '"xrefs": 11' in got[1] and '"error"' in got[2] and '"error"' in got[3]
+
+
+def test_many_symbols_stay_a_plan(g, monkeypatch):
+    """Looked up now or left in the plan, answers are the same."""
+    asked = [
+        lambda: verbs.define(g, "foo", substr=True),
+        lambda: verbs.refs(g, "foo.Parent", def_in="core/"),
+        lambda: verbs.subs(g, "foo.Parent", not_in="zzz"),
+        lambda: verbs.members(g, "foo.Parent"),
+        lambda: verbs.signatures(g, "helper", substr=True),
+        lambda: walk.callgraph(g, "foo.Parent.helper", direction="both", not_in="zzz"),
+    ]
+    rows = lambda: [sorted(map(str, q().collect())) for q in asked]
+    want = rows()
+    monkeypatch.setattr(verbs, "PINNED", 0)
+    assert rows() == want
+
+
+def test_socket(g, tmp_path):
+    import threading
+
+    from tracelode.service import client_call, serve
+
+    path = str(tmp_path / "s.sock")
+    ready = threading.Event()
+    threading.Thread(target=serve, args=(g, path), kwargs={"ready": ready, "most": 2}, daemon=True).start()
+    assert ready.wait(10)
+    assert client_call(path, {"cmd": "stat"})["xrefs"] == 11
+    assert client_call(path, {"cmd": "nope"})["kind"] == "error"

@@ -15,6 +15,8 @@ from .resolve import lookup
 
 LIMIT, MAX_HITS, LEAST_SYMS = 16, 200, 64
 EVERY = 255
+#: Symbols up to this many go into the plan as values, so that scans prune row groups by them.
+PINNED = 512
 
 
 def stat(g: Graph) -> DataFrame:
@@ -26,9 +28,23 @@ def stat(g: Graph) -> DataFrame:
     return out
 
 
-def described(g: Graph, rows: DataFrame, sym: str = "sym") -> DataFrame:
+def pinned(syms: DataFrame) -> tuple[DataFrame, list[int] | None]:
+    """The symbols that a name has led to. If they are few they are looked up now, and the rows and their ids
+    become part of the plan; if they are many they stay a plan (None)."""
+    rows = syms.limit(PINNED + 1).collect()
+    if len(rows) > PINNED:
+        return syms, None
+    return syms.sparkSession.createDataFrame(rows, syms.schema), sorted({r["sym"] for r in rows})
+
+
+def narrowed(table: DataFrame, column: str, ids: list[int] | None) -> DataFrame:
+    """The rows of a table with one of the ids: a filter that reaches the scan. None, or too many: all rows."""
+    return table if ids is None or len(ids) > PINNED else table.filter(F.col(column).isin(ids)) if ids else table.limit(0)
+
+
+def described(g: Graph, rows: DataFrame, sym: str = "sym", ids: list[int] | None = None) -> DataFrame:
     """``rows`` with name, kind and lang of the symbol; a symbol that isn't known is ``?``."""
-    known = g.syms.select(F.col("sym").alias(sym), F.col("name"), F.col("kind"), F.col("lang"))
+    known = narrowed(g.syms, "sym", ids).select(F.col("sym").alias(sym), F.col("name"), F.col("kind"), F.col("lang"))
     out = rows.join(known, sym, "left")
     return out.withColumns({"name": F.coalesce("name", F.lit("?")), "kind": F.coalesce("kind", F.lit(0)), "lang": F.coalesce("lang", F.lit(0))})
 
@@ -37,28 +53,28 @@ def labelled(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"kind": kind_label(F.col("kind")), "lang": lang_label(F.col("lang"))})
 
 
-def _placed(g: Graph, syms: DataFrame) -> DataFrame:
+def _placed(g: Graph, syms: DataFrame, ids: list[int] | None = None) -> DataFrame:
     """Places of the given symbols that declare or define them."""
-    return g.xrefs.filter(F.col("role").between(DECL, DEF)).join(syms.select("sym").distinct(), "sym", "left_semi")
+    return narrowed(g.xrefs, "sym", ids).filter(F.col("role").between(DECL, DEF)).join(syms.select("sym").distinct(), "sym", "left_semi")
 
 
-def first_paths(g: Graph, syms: DataFrame) -> DataFrame:
+def first_paths(g: Graph, syms: DataFrame, ids: list[int] | None = None) -> DataFrame:
     """sym, def_path: path of the first declaration, or else definition."""
-    first = _placed(g, syms).groupBy("sym").agg(F.min(F.struct("role", "file", "off")).getField("file").alias("file"))
+    first = _placed(g, syms, ids).groupBy("sym").agg(F.min(F.struct("role", "file", "off")).getField("file").alias("file"))
     return first.join(g.files, "file").select("sym", F.col("path").alias("def_path"))
 
 
-def places(g: Graph, syms: DataFrame) -> DataFrame:
+def places(g: Graph, syms: DataFrame, ids: list[int] | None = None) -> DataFrame:
     """sym, path, off: the first definition, or else declaration."""
     order = F.struct((F.col("role") != DEF).alias("later"), "file", "off")
-    first = _placed(g, syms).groupBy("sym").agg(F.min(order).alias("at")).select("sym", "at.file", "at.off")
+    first = _placed(g, syms, ids).groupBy("sym").agg(F.min(order).alias("at")).select("sym", "at.file", "at.off")
     return first.join(g.files, "file").select("sym", "path", "off")
 
 
-def _where_defined(g: Graph, syms: DataFrame, def_in: str | None) -> DataFrame:
+def _where_defined(g: Graph, syms: DataFrame, def_in: str | None, ids: list[int] | None = None) -> DataFrame:
     if not def_in:
         return syms
-    return syms.join(first_paths(g, syms).filter(F.col("def_path").contains(def_in)).select("sym"), "sym", "left_semi")
+    return syms.join(first_paths(g, syms, ids).filter(F.col("def_path").contains(def_in)).select("sym"), "sym", "left_semi")
 
 
 def sites(
@@ -67,9 +83,10 @@ def sites(
 ) -> DataFrame:
     """group_seq, name, kind, lang, (typed, sig,) role, file, off: places of the symbols of a name, symbol by
     symbol; symbols without a place are not shown. ``max_hits`` counts over all symbols; at least one is shown."""
-    syms = _where_defined(g, lookup(g.names, name, substr, limit, ignore_case), def_in)
+    syms, ids = pinned(lookup(g.names, name, substr, limit, ignore_case))
+    syms = _where_defined(g, syms, def_in, ids)
     low, high = roles
-    rows = g.xrefs.filter(F.col("role").between(low, high)).join(syms, "sym")
+    rows = narrowed(g.xrefs, "sym", ids).filter(F.col("role").between(low, high)).join(syms, "sym")
     rows = rows.join(g.files.select("file", "path"), "file", "left").withColumn("path", F.coalesce("path", F.lit("?")))
     wanted = passes(F.col("path"), in_, not_in)
     if wanted is not None:
@@ -77,10 +94,10 @@ def sites(
     if max_hits is not None:
         order = ["seq", "role", "file", "off"]
         rows = rows.orderBy(*order).limit(max(1, max_hits))
-    rows = described(g, rows)
+    rows = described(g, rows, ids=ids)
     extra = []
     if with_type:
-        rows = rows.join(g.typed, "sym", "left").join(g.sig, "sym", "left")
+        rows = rows.join(narrowed(g.typed, "sym", ids), "sym", "left").join(narrowed(g.sig, "sym", ids), "sym", "left")
         extra = ["typed", "sig"]
     return labelled(rows).select(F.col("seq").alias("group_seq"), "name", "kind", "lang", *extra, role_label(F.col("role")).alias("role"), F.col("path").alias("file"), "off")
 
@@ -111,15 +128,15 @@ def sites_many(g: Graph, needles: DataFrame, roles: tuple[int, int] = (0, EVERY)
 def related(g: Graph, name: str, sub: bool, substr: bool = False, limit: int = LIMIT, in_: str | None = None, not_in: str | None = None) -> DataFrame:
     """seq, name, def: direct supertypes (or subtypes) and overridden (or overriding) methods. Copies of one
     element are one row: its first place, and its first name that is not a ticket."""
-    syms = lookup(g.names, name, substr, limit)
+    syms, ids = pinned(lookup(g.names, name, substr, limit))
     ends = ("parent", "child") if sub else ("child", "parent")
-    edges = g.inh.select(F.col(ends[0]).alias("sym"), F.col(ends[1]).alias("other"))
-    found = edges.join(syms, "sym").groupBy(F.col("other").alias("sym")).agg(F.min("seq").alias("seq"))
+    edges = narrowed(g.inh, ends[0], ids).select(F.col(ends[0]).alias("sym"), F.col(ends[1]).alias("other"))
+    found, ids = pinned(edges.join(syms, "sym").groupBy(F.col("other").alias("sym")).agg(F.min("seq").alias("seq")))
     wanted = passes(F.coalesce("def_path", F.lit("")), in_, not_in)
     if wanted is not None:
-        found = found.join(first_paths(g, found), "sym", "left").filter(wanted)
-    known = g.syms.select("sym", "name")
-    found = found.join(known, "sym", "left").join(places(g, found), "sym", "left")
+        found = found.join(first_paths(g, found, ids), "sym", "left").filter(wanted)
+    known = narrowed(g.syms, "sym", ids).select("sym", "name")
+    found = found.join(known, "sym", "left").join(places(g, found, ids), "sym", "left")
     found = found.withColumn("name", F.coalesce("name", F.concat(F.lit("<sym "), F.lpad(F.lower(F.hex("sym")), 16, "0"), F.lit(">"))))
     at = F.struct("seq", sym_order(F.col("sym")).alias("sym"))
     best = lambda cond: F.min(F.when(cond, at))
@@ -152,8 +169,8 @@ def _first_of(rows: DataFrame, key: list, order: list, limit: int) -> DataFrame:
 
 
 def _texts(g: Graph, table: DataFrame, column: str, name: str, substr: bool, limit: int) -> DataFrame:
-    syms = lookup(g.names, name, substr, max(limit, LEAST_SYMS))
-    rows = described(g, table.join(syms, "sym"))
+    syms, ids = pinned(lookup(g.names, name, substr, max(limit, LEAST_SYMS)))
+    rows = described(g, narrowed(table, "sym", ids).join(syms, "sym"), ids=ids)
     rows = _first_of(rows, [logical_key(F.col("name")), column], ["seq"], limit)
     return labelled(rows).select("seq", "name", "kind", "lang", column)
 
@@ -169,9 +186,9 @@ def signatures(g: Graph, name: str, substr: bool = False, limit: int = LIMIT) ->
 
 def members(g: Graph, name: str, substr: bool = False, limit: int = LIMIT) -> DataFrame:
     """Direct members of the types and packages of a name."""
-    syms = lookup(g.names, name, substr, max(limit, LEAST_SYMS))
-    holders = syms.join(g.syms.filter(F.col("kind").isin(*CONTAINERS)).select("sym"), "sym", "left_semi")
-    rows = g.childof.join(holders.withColumnRenamed("sym", "parent"), "parent").groupBy(F.col("child").alias("sym")).agg(F.min("seq").alias("holder"))
+    syms, ids = pinned(lookup(g.names, name, substr, max(limit, LEAST_SYMS)))
+    holders = syms.join(narrowed(g.syms, "sym", ids).filter(F.col("kind").isin(*CONTAINERS)).select("sym"), "sym", "left_semi")
+    rows = narrowed(g.childof, "parent", ids).join(holders.withColumnRenamed("sym", "parent"), "parent").groupBy(F.col("child").alias("sym")).agg(F.min("seq").alias("holder"))
     rows = described(g, rows).join(g.sig, "sym", "left").withColumn("at", sym_order(F.col("sym")))
     rows = _first_of(rows, [logical_key(F.col("name")), "kind", "sig"], ["holder", "at"], limit)
     return labelled(rows).select("seq", "name", "kind", "lang", "sig")

@@ -14,32 +14,33 @@ from pyspark.sql import functions as F
 from ..functions.scalar import display_name, kind_label, logical_key, passes, place, sym_order
 from ..schema import Graph
 from .resolve import lookup
-from .verbs import first_paths, places
+from .verbs import first_paths, narrowed, pinned, places
 
 DEPTH, MAX_SYMS, ROOTS = 3, 200, 16
 _NODE = "id int, parent int, hop int, dir string, sym long, name string"
 
 
-def _named(g: Graph, rows: DataFrame) -> DataFrame:
-    known = g.syms.select("sym", "name")
+def _named(g: Graph, rows: DataFrame, ids: list[int] | None = None) -> DataFrame:
+    known = narrowed(g.syms, "sym", ids).select("sym", "name")
     missing = F.concat(F.lit("<sym "), F.lpad(F.lower(F.hex("sym")), 16, "0"), F.lit(">"))
     return rows.join(known, "sym", "left").withColumn("name", F.coalesce("name", missing))
 
 
-def _kept(g: Graph, rows: DataFrame, in_: str | None, not_in: str | None) -> DataFrame:
+def _kept(g: Graph, rows: DataFrame, in_: str | None, not_in: str | None, ids: list[int] | None = None) -> DataFrame:
     wanted = passes(F.coalesce("def_path", F.lit("")), in_, not_in)
     if wanted is None:
         return rows
-    return rows.join(first_paths(g, rows), "sym", "left").filter(wanted).drop("def_path")
+    return rows.join(first_paths(g, rows, ids), "sym", "left").filter(wanted).drop("def_path")
 
 
-def _copies(g: Graph, nodes: DataFrame) -> DataFrame:
+def _copies(g: Graph, nodes: DataFrame, ids: list[int]) -> DataFrame:
     """sym, id: every copy of the nodes (sym, id, name): symbols that share a name row with the node (its name or an
     alias) and its logical key."""
     nodes = F.broadcast(nodes)
-    called = g.names.join(nodes, g.names["sym"] == nodes["sym"]).select(g.names["name"].alias("shared"), "id", nodes["name"].alias("name"))
+    own = narrowed(g.names, "sym", ids)
+    called = own.join(nodes, own["sym"] == nodes["sym"]).select(own["name"].alias("shared"), "id", nodes["name"].alias("name"))
     called = called.union(nodes.select(F.col("name").alias("shared"), "id", "name")).distinct()
-    same = g.names.select(F.col("name").alias("shared"), "sym").join(called, "shared").select("sym", "id", "name")
+    same = g.names.select(F.col("name").alias("shared"), "sym").join(F.broadcast(called), "shared").select("sym", "id", "name")
     same = same.join(g.syms.select("sym", F.col("name").alias("own")), "sym")
     same = same.filter(logical_key(F.col("own")) == logical_key(F.col("name"))).select("sym", "id")
     return nodes.select("sym", "id").union(same).distinct()
@@ -55,10 +56,10 @@ def forest(
     edges, frm, to = (g.calls, "caller", "callee") if table == "calls" else (g.inh, "child", "parent")
     up, down = ((to, frm), (frm, to)) if table == "calls" else ((frm, to), (to, frm))
     ways = [w for w in (("up", 0, up), ("down", 1, down)) if direction in (w[0], "both")]
-    roots = lookup(g.names, name, substr, root_limit)
+    roots, ids = pinned(lookup(g.names, name, substr, root_limit))
     if def_in:
-        roots = roots.join(first_paths(g, roots).filter(F.col("def_path").contains(def_in)).select("sym"), "sym", "left_semi")
-    roots = _named(g, _kept(g, roots, in_, not_in)).withColumn("key", logical_key(F.col("name")))
+        roots = roots.join(first_paths(g, roots, ids).filter(F.col("def_path").contains(def_in)).select("sym"), "sym", "left_semi")
+    roots = _named(g, _kept(g, roots, in_, not_in, ids), ids).withColumn("key", logical_key(F.col("name")))
     first = roots.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("seq"))).filter("nth = 1").orderBy("seq")
     nodes = [(i, None, 0, "root", r["sym"], r["name"]) for i, r in enumerate(first.select("sym", "name").collect())]  # the roots of one request
     seen, frontier = {_key(n[5]) for n in nodes}, nodes
@@ -66,13 +67,13 @@ def forest(
     for hop in range(1, depth + 1):
         if not frontier or not ways or len(nodes) >= room:
             break
-        at = _copies(g, spark.createDataFrame(frontier, _NODE).select("sym", "id", "name"))
+        at, ids = pinned(_copies(g, spark.createDataFrame(frontier, _NODE).select("sym", "id", "name"), [n[4] for n in frontier]))
         found = None
         for label, rank, (a, b) in ways:
-            near = edges.join(F.broadcast(at), F.col(a) == F.col("sym")).select(F.col(b).alias("next"), F.col("id").alias("parent"), F.lit(rank).alias("rank"), F.lit(label).alias("dir"))
+            near = narrowed(edges, a, ids).join(F.broadcast(at), F.col(a) == F.col("sym")).select(F.col(b).alias("next"), F.col("id").alias("parent"), F.lit(rank).alias("rank"), F.lit(label).alias("dir"))
             found = near if found is None else found.union(near)
-        found = _kept(g, found.withColumnRenamed("next", "sym"), in_, not_in)
-        found = _named(g, found).withColumn("key", logical_key(F.col("name")))
+        found, ids = pinned(found.withColumnRenamed("next", "sym"))
+        found = _named(g, _kept(g, found, in_, not_in, ids), ids).withColumn("key", logical_key(F.col("name")))
         old = spark.createDataFrame([(k,) for k in sorted(seen)], "key string")
         found = found.join(F.broadcast(old), "key", "left_anti")
         at_ = F.struct("parent", "rank", sym_order(F.col("sym")).alias("order"))
@@ -81,8 +82,8 @@ def forest(
         frontier = [(len(nodes) + i, r["parent"], hop, r["dir"], r["sym"], r["name"]) for i, r in enumerate(rows)]
         nodes = nodes + frontier
         seen |= {_key(n[5]) for n in frontier}
-    out = spark.createDataFrame(nodes, _NODE)
-    out = out.join(g.syms.select("sym", "kind"), "sym", "left").join(places(g, out), "sym", "left")
+    out, ids = spark.createDataFrame(nodes, _NODE), [n[4] for n in nodes]
+    out = out.join(narrowed(g.syms, "sym", ids).select("sym", "kind"), "sym", "left").join(places(g, out, ids), "sym", "left")
     shown = F.col("name") if table == "calls" else display_name(F.col("name"), F.col("path"), F.col("off"))
     return out.select("id", "parent", "hop", "dir", kind_label(F.coalesce("kind", F.lit(0))).alias("kind"), shown.alias("name"), place(F.col("path"), F.col("off")).alias("def"))
 

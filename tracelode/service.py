@@ -107,6 +107,45 @@ def repl(g: Graph, lines: Iterable[str]) -> Iterable[str]:
         yield json.dumps(reply, ensure_ascii=False)
 
 
+def default_socket(index: str) -> str:
+    """The socket of an index's server."""
+    return f"{index.rstrip('/')}.sock"
+
+
+def serve(g: Graph, path: str, ready=None, most: int | None = None) -> None:
+    """Answers connections one after the other, a reply a line; after ``most`` of them it ends."""
+    import os
+    import socket
+
+    if os.path.exists(path):
+        os.unlink(path)
+    with socket.socket(socket.AF_UNIX, socket.SOCK_STREAM) as server:
+        server.bind(path)
+        server.listen()
+        if ready is not None:
+            ready.set()
+        while most is None or most > 0:
+            connection, _ = server.accept()
+            most = most if most is None else most - 1
+            with connection, connection.makefile("rw", encoding="utf-8") as stream:
+                for reply in repl(g, stream):
+                    stream.write(reply + "\n")
+                    stream.flush()
+
+
+def client_call(path: str, request: dict) -> dict:
+    """The reply of a server to one request."""
+    import socket
+
+    with socket.socket(socket.AF_UNIX, socket.SOCK_STREAM) as s:
+        s.connect(path)
+        with s.makefile("rw", encoding="utf-8") as stream:
+            stream.write(json.dumps(request) + "\n")
+            stream.flush()
+            s.shutdown(socket.SHUT_WR)
+            return json.loads(stream.readline())
+
+
 def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
@@ -116,6 +155,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tracelode")
     parser.add_argument("--index", default="graph.index")
     parser.add_argument("--json", action="store_true")
+    parser.add_argument("--socket", help="of a server that answers; with serve, where to listen")
     sub = parser.add_subparsers(dest="cmd", required=True)
     for verb, (_, fields, _) in VERBS.items():
         own = sub.add_parser(verb)
@@ -131,6 +171,7 @@ def main(argv: list[str] | None = None) -> int:
     own.add_argument("--limit", type=int, default=32)
     sub.add_parser("stat")
     sub.add_parser("repl")
+    sub.add_parser("serve")
     own = sub.add_parser("index")
     own.add_argument("--entries", nargs="+", required=True)
     own.add_argument("--tolerant", action="store_true")
@@ -156,8 +197,12 @@ def main(argv: list[str] | None = None) -> int:
         with open(args["file"], "rb") as f:
             print(qualified_name(f.read()))
         return 0
-    spark = SparkSession.builder.getOrCreate()
     cmd = args["cmd"]
+    if args["socket"] and (cmd in VERBS or cmd == "stat"):
+        reply = client_call(args["socket"], _request(args))
+        print(json.dumps(reply, ensure_ascii=False, indent=None if args["json"] else 2))
+        return 1 if reply["kind"] == "error" else 0
+    spark = SparkSession.builder.getOrCreate()
     if cmd == "normalize-kzip":
         print(kzip.write_normalized(args["archive"], args["out"]))
         return 0
@@ -173,17 +218,24 @@ def main(argv: list[str] | None = None) -> int:
         for reply in repl(g, sys.stdin):
             print(reply, flush=True)
         return 0
+    if cmd == "serve":
+        serve(g, args["socket"] or default_socket(args["index"]))
+        return 0
     if cmd == "names":
         from .operators.resolve import prefix
 
         rows = [r.asDict() for r in prefix(g.names, args["name"], args["limit"]).collect()]
         reply = {"kind": "names", "hits": rows, "total": len(rows)}
     else:
-        reply = dispatch(g, {k: v for k, v in args.items() if v is not None and k not in ("index", "json")})
+        reply = dispatch(g, _request(args))
     print(json.dumps(reply, ensure_ascii=False, indent=None if args["json"] else 2))
     return 1 if reply["kind"] == "error" else 0
 
 
+def _request(args: dict) -> dict:
+    return {k: v for k, v in args.items() if v is not None and k not in ("index", "json", "socket")}
+
+
 def _from_kzip(spark, args: dict) -> int:
     """An index of an archive's units, by the indexers that are given, with the cache if there is one."""
     import shlex

@@ -54,6 +54,8 @@ def _replace(spark: SparkSession, work: str, path: str) -> None:
 
 def read(spark: SparkSession, path: str) -> Graph:
     """The graph of an index; its version must be this one's."""
+    # values that verbs put into a plan are pushed to the scan one by one, not as their range
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "1024")
     found = spark.read.parquet(f"{path}/version").first()["version"]
     if found != VERSION:
         raise ValueError(f"{path} has version {found}, not {VERSION}")
