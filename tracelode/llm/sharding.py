@@ -2,14 +2,16 @@
 
 Records are ordered by the hash of their text, so equal texts stand together, then by a hash of
 doc_id and of the row. A sample of keys, drawn with chances in proportion to the records' sizes, is
-the only thing that the driver sees (``SAMPLE`` keys are expected at most, whatever the input); its quantiles
-are splitters of ranges. A group that is larger than a range has several splitters among its rows, so
+all that the driver sees of the rest (``SAMPLE`` keys are expected at most, whatever the input); its
+quantiles are splitters of ranges. A group that is larger than a range has several splitters among its rows, so
 hot groups are cut by the same rule. Each range is subdivided into bins by the hash, more of them the
 more rows there are, so what one task sorts is bounded.
 
-The exact bytes of all bins put each record at an offset of the whole order, and its place there
-gives its shard. A group of equal texts within a bin moves as one while it is under ``WHOLE`` of a
-shard; a larger one is cut between rows.
+Records that are larger than ``LARGE`` of a shard, of which there can't be more than ``SHARDS / LARGE``, are placed
+first, the largest into the emptiest shard, equal ones together; the ranges fill what they leave. The
+exact bytes of all bins put each record at an offset of the whole order, and its place there gives its
+shard. A group of equal texts within a bin moves as one while it is under ``WHOLE`` of a shard; a
+larger one is cut between rows.
 
 Defined results: a null text has size 1 (no bytes, plus one) and checksum 0, and is one with the
 empty text; null doc_ids are a value like any other; repeated rows are separate records; other
@@ -28,6 +30,8 @@ SAMPLE = 65_536  # keys that the driver gets, expected
 RANGES = 2_048  # at most
 ROWS_A_BIN = 20_000
 WHOLE = 0.04  # of a shard: larger groups are cut
+LARGE = 0.01  # of a shard: larger records are placed one by one
+WHOLE_LARGE = 0.25  # of a shard: larger groups of large records are cut
 
 
 def _rank(splitters: list[tuple[int, int]], key: Column, tie: Column) -> Column:
@@ -45,6 +49,25 @@ def _rank(splitters: list[tuple[int, int]], key: Column, tie: Column) -> Column:
     return F.aggregate(F.array([F.lit(s) for s in steps]), F.lit(0), step)
 
 
+def place_large(rows: list[tuple[int, int, int]], shards: int, share: float) -> tuple[list[tuple[int, int, int]], list[float], list[int]]:
+    """(row, shard, slot) of the large records (key, row, size), and the bytes and records that each shard then has.
+    Records of one key are one while they are under ``WHOLE_LARGE`` of a shard's ``share``."""
+    units: dict[tuple, list[tuple[int, int]]] = {}
+    total: dict[int, int] = {}
+    for key, _, size in rows:
+        total[key] = total.get(key, 0) + size
+    for key, row, size in sorted(rows):
+        units.setdefault((key,) if total[key] <= WHOLE_LARGE * share else (key, row), []).append((row, size))
+    load, count, out = [0.0] * shards, [0] * shards, []
+    for _, own in sorted(units.items(), key=lambda u: (-sum(s for _, s in u[1]), u[0])):
+        k = min(range(shards), key=lambda i: (load[i], i))
+        for row, size in own:
+            out.append((row, k, count[k]))
+            load[k] += size
+            count[k] += 1
+    return out, load, count
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of ``docs`` (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
@@ -59,6 +82,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = slim.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     if not total["rows"]:
         return slim.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    share = total["bytes"] / shards
+    big = slim.filter(F.col("size") > LARGE * share)  # their number is bounded by their size
+    large, load, count = place_large([tuple(r) for r in big.select("key", "row", "size").collect()], shards, share)
+    if large:
+        slim = slim.filter(F.col("size") <= LARGE * share)
+    room = [max(0.0, share - x) for x in load]
+    rest = sum(room)
     ranges = 64
     while ranges < RANGES and ranges * ROWS_A_BIN / 4 < total["rows"]:
         ranges *= 2
@@ -95,14 +125,20 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     placed = placed.withColumns({"group_end": F.max("upto").over(group), "group_bytes": F.sum("size").over(group)})
     placed = placed.join(size, ["range", "bin"])
-    middle = F.when(
-        F.col("group_bytes") <= WHOLE * total["bytes"] / shards, F.col("group_end") - F.col("group_bytes") / 2
-    ).otherwise(F.col("upto") - F.col("size") / 2)
-    at = F.floor((F.col("bytes_before") + middle) * shards / total["bytes"]).cast("int")
-    placed = placed.select("doc_id", "size", "text_crc32", F.least(at, F.lit(shards - 1)).alias("shard"), (F.col("rows_before") + F.col("nth")).alias("place"))
+    middle = F.when(F.col("group_bytes") <= WHOLE * share, F.col("group_end") - F.col("group_bytes") / 2).otherwise(F.col("upto") - F.col("size") / 2)
+    # where the room of each shard ends, in the bytes of the small records
+    small = total["bytes"] - sum(load)
+    ends = [sum(room[: k + 1]) * small / rest for k in range(shards - 1)] if rest else []
+    at = sum((F.col("bytes_before") + middle >= F.lit(e)).cast("int") for e in ends) if ends else F.lit(0)
+    placed = placed.select("doc_id", "size", "text_crc32", at.alias("shard"), (F.col("rows_before") + F.col("nth")).alias("place"))
     placed = cut(placed, "placed")
     first = placed.groupBy("shard").agg(F.min("place").alias("first"))  # one row a shard
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot"))
+    before_it = F.element_at(F.array([F.lit(c) for c in count]), F.col("shard") + 1)
+    out = placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("place") - F.col("first") + before_it).cast("long").alias("slot"))
+    if not large:
+        return out
+    where = slim.sparkSession.createDataFrame(large, "row long, shard int, slot long")  # a row a large record
+    return out.unionByName(big.join(F.broadcast(where), "row").select("doc_id", "size", "text_crc32", "shard", "slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
