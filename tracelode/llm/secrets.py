@@ -134,22 +134,20 @@ def _battery(token: Column, alphabet: str) -> Column:
         p_serial = F.when(square > 0, 2 * _tail(F.abs(lag / F.greatest(square, F.lit(1e-9))) * F.sqrt(n))).otherwise(0.0)
         return F.least(F.lit(1.0), 4 * F.least(p_chi, p_kinds, p_runs, p_serial))
 
-    return tests(at)
+    return F.element_at(F.transform(F.array(at), tests), 1)  # the places are worked out once
 
 
 def candidates(text: Column) -> Column:
     """Tokens of an inferred encoding: array of (start, end, family, bin of p)."""
-    code = lambda t: F.coalesce(*[F.when(t.rlike(p), F.lit(k)) for k, p in _FITS.items()])
-    fit = F.filter(_found(text, TOKEN), lambda x: code(x["value"]).isNotNull())
+    kind = lambda t: F.coalesce(*[F.when(t.rlike(p), F.lit(k)) for k, p in _FITS.items()])
+    named = F.transform(_found(text, TOKEN), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), kind(x["value"]).alias("kind")))
 
     def tested(x: Column) -> Column:
-        t = x["value"]
-        kind = code(t)
-        p = F.coalesce(*[F.when(kind == k, _battery(t, a)) for k, a in _ALPHABETS.items()])
-        family = F.concat(kind, F.lit(":"), F.floor(F.log2(F.length(t).cast("double"))).cast("string"))
+        p = F.coalesce(*[F.when(x["kind"] == k, _battery(x["value"], a)) for k, a in _ALPHABETS.items()])
+        family = F.concat(x["kind"], F.lit(":"), F.floor(F.log2(F.length(x["value"]).cast("double"))).cast("string"))
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), family.alias("family"), F.floor(F.log10(F.greatest(p, F.lit(1e-30))) * _BIN).cast("int").alias("bin"))
 
-    return F.transform(fit, tested)
+    return F.transform(F.filter(named, lambda x: x["kind"].isNotNull()), tested)
 
 
 def thresholds(tokens: DataFrame, rate: float = RATE) -> dict[str, int]:
@@ -196,9 +194,10 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     name = scanned.columns[-1]
     families = scanned.select(F.explode(f"{name}.tokens").alias("t")).select("t.family", "t.bin")
     limits = thresholds(families)
-    f = F.col(name)
+    f, at = F.col(name), free_name(scanned, "spans_of")
     base = F.concat(f["assign"], f["access"], f["hex"])
-    spans = F.array_sort(F.concat(base, random_spans(f["tokens"], limits, base)))
+    scanned = scanned.withColumn(at, F.array_sort(F.concat(base, random_spans(f["tokens"], limits, base))))
+    spans = F.col(at)
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
@@ -209,9 +208,8 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     out = scanned.withColumn("text", F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, rest)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        changed = F.size(base) + F.size(f["tokens"]) > 0
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop(name)
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(name, at)
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
