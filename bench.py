@@ -21,7 +21,7 @@ sys.path.insert(0, HERE)
 os.environ["PYTHONPATH"] = os.pathsep.join([HERE, os.environ.get("PYTHONPATH", "")])
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-RUNS = 3
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 #: Operators over the raw tables, by their key in the catalogue.
 RAW = ("innermost_body", "sym_refine", "name_row_id", "trigram_dict", "merge_union", "completes_remap")
 
