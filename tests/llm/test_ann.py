@@ -57,6 +57,17 @@ def test_several_cells_and_a_hot_vector(spark, monkeypatch):
     assert recall(got, exact(list(range(900)), x, [(i, x[i]) for i in range(0, 900, 20)], 10)) >= 0.95
 
 
+def test_many_more_cells_than_a_query_once_visited(spark, monkeypatch):
+    """Unit vectors without clusters in 300 blocks: no row is out of a query's reach."""
+    monkeypatch.setattr(A, "ENTRIES_A_CELL", 10)
+    monkeypatch.setattr(A, "QUERIES", 50)
+    x = np.random.default_rng(8).normal(size=(3_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = A.search(vectors, vectors.filter("vec_id % 20 = 0")).collect()
+    assert recall(got, exact(list(range(3_000)), x, [(i, x[i]) for i in range(0, 3_000, 20)], A.K)) >= 0.98
+
+
 def test_odd_vectors(spark):
     bad = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [math.nan, 1.0]), (5, [math.inf, 1.0]), (6, []), (None, [1.0, 2.0]), (7, [1.0, 2.0, 3.0])]
     good = [(20, [1.0, 0.0]), (40, [2.0, 0.0]), (40, [2.0, 0.0]), (61, [0.0, 1.0])]

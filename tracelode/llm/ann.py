@@ -11,9 +11,9 @@
   the ``KEEP`` best of the block; these are ranked again by exact inner products in double precision,
   so a block gives k rows a query and a second step merges them.
 
-Index blocks are cells of a coarse quantiser, each of a bounded number of entries: cells that are
-larger are split by hash. A query visits the cells whose centroids promise the largest products,
-``PROBES`` of them, or all where there are no more; so the work per query is bounded at any size.
+Index blocks are dealt by hash, about ``ENTRIES_A_CELL`` entries each, and every query meets the codes
+of every block: no row is out of a query's reach at any size, and a block ranks ``KEEP`` of its own
+again, so recall does not fall as blocks are added. The work is queries times entries.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, or have another
 dimension than most, take no part; a null vec_id takes no part; a query is not its own neighbour;
@@ -35,10 +35,8 @@ K, EVERY = 20, 20
 TRAIN = 20_000
 ETA = 4.0
 KEEP = 200  # entries of a block that are ranked again, for each query
-BLOCK = 8_192  # entries of a block, about
-QUERIES = 4_096  # of a block of a cell
-PROBES = 64  # cells that a query visits
-ENTRIES_A_CELL = 4_096
+QUERIES = 4_096  # of a block, about
+ENTRIES_A_CELL = 4_096  # entries of a block, about
 
 
 def _halves(x: np.ndarray) -> np.ndarray:
@@ -149,35 +147,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     entries = cut(ids.withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy("same", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
     sample = np.array([r["v"] for r in entries.orderBy(F.xxhash64("same", F.lit(3)), "same").limit(TRAIN).select("v").collect()])
     books = train(sample)
-    cells = max(1, entries.count() // ENTRIES_A_CELL)
-    centroids = _centroids(sample, cells)
+    parts = -(-entries.count() // ENTRIES_A_CELL)
 
     def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array(batch["v"].tolist())
-            cell = _nearest(x, centroids)
-            yield pd.DataFrame({"cell": cell.astype(np.int32), "same": batch["same"], "v": batch["v"], "ids": batch["ids"], "codes": [c.tobytes() for c in packed(encode(x, books))]})
-
-    index = cut(entries.mapInPandas(indexed, "cell int, same long, v array<double>, ids array<long>, codes binary"), "index")
-    size = {r["cell"]: -(-r["count"] // BLOCK) for r in index.groupBy("cell").count().collect()}  # a number a cell
-    split = F.create_map(*[F.lit(x) for pair in size.items() for x in pair])
-    index = index.withColumn("part", F.pmod(F.xxhash64("same"), F.element_at(split, F.col("cell"))).cast("int"))
-    def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            q = np.array(batch["q"].tolist())
-            near = np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :PROBES]
-            of = [(i, c, p) for i in range(len(q)) for c in near[i].tolist() for p in range(size.get(c, 0))]
-            at = [i for i, _, _ in of]
-            yield pd.DataFrame({"query_id": batch["query_id"].to_numpy()[at], "q": [batch["q"].iloc[i] for i in at], "cell": np.array([c for _, c, _ in of], np.int32), "part": np.array([p for _, _, p in of], np.int32)})
-
-    asked = asked.mapInPandas(probed, "query_id long, q array<double>, cell int, part int")
-    # of a cell that many queries visit the entries are met by blocks of its queries
-    visits = {r["cell"]: -(-r["count"] // QUERIES) for r in asked.filter("part = 0").groupBy("cell").count().collect()}  # a number a cell
-    if not visits:
+            yield pd.DataFrame({"same": batch["same"], "v": batch["v"], "ids": batch["ids"], "codes": [c.tobytes() for c in packed(encode(x, books))]})
+
+    index = cut(entries.mapInPandas(indexed, "same long, v array<double>, ids array<long>, codes binary"), "index")
+    index = index.withColumn("part", F.pmod(F.xxhash64("same"), F.lit(parts)).cast("int"))
+    blocks = -(-asked.count() // QUERIES)
+    if not blocks:
         return spark.createDataFrame([], empty)
-    blocks = F.element_at(F.create_map(*[F.lit(x) for pair in visits.items() for x in pair]), F.col("cell"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks).cast("int"))
-    index = index.filter(blocks.isNotNull()).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # every block of queries meets every block of entries
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    index = index.withColumn("block", every(blocks))
 
     def searched(key: tuple, rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(wanted):
@@ -199,29 +184,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 out += [(query, v, -s) for s, v in found[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    left, right = index.groupBy("cell", "part", "block"), asked.groupBy("cell", "part", "block")
+    left, right = index.groupBy("part", "block"), asked.groupBy("part", "block")
     found = left.cogroup(right).applyInPandas(searched, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _centroids(x: np.ndarray, cells: int, seed: int = 5) -> np.ndarray:
-    """k-means of the training vectors."""
-    rng = np.random.default_rng(seed)
-    cells = min(cells, len(x))
-    centers = x[rng.choice(len(x), cells, replace=False)]
-    for _ in range(8):
-        own = _nearest(x, centers)
-        for c in range(cells):
-            if (own == c).any():
-                centers[c] = x[own == c].mean(axis=0)
-    return centers
-
-
-def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return np.argmin((centers**2).sum(axis=1)[None] - 2 * x @ centers.T, axis=1)
-
-
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found for every row whose vec_id is divisible by 20: query_id, rank, vec_id, score."""
     vectors = table(spark, sf_dir, "embeddings")
