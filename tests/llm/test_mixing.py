@@ -70,3 +70,13 @@ def test_chances_follow_the_ranks(spark):
     got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1.0, 3.0)).filter("source = 'a'").collect()
     share = lambda size: sum(r["copies"] for r in got if r["size"] == size) / sum(r["size"] == size for r in got)
     assert share(3) > 1.5 * share(1)
+
+
+def test_documents_longer_than_the_rest(spark):
+    """A document that doesn't fit leaves its room to all the small ones, wherever they rank."""
+    rows = [(i, "w " * (100 + i * 7 % 101), "a") for i in range(4_000)] + [(5_000 + i, "w " * 200_000, "a") for i in range(5)]
+    rows += [(6_000 + i, "w " * 150, "b") for i in range(10_000)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1.0, 30.0)).filter("source = 'a'").collect()
+    target = got[0]["target"]
+    assert 90_000 < target < 110_000 and {r["size"] > target for r in got} == {True, False}
+    assert abs(sum(r["size"] * r["copies"] for r in got) - target) <= 100

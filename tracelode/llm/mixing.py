@@ -12,8 +12,11 @@ size is in words: documents are taken in order of rank while they fit what is le
 fill what is left, and at most ``EXCHANGES`` exchanges come nearer still.
 
 Ranks fall into bins, so only sums per bin are gathered; whole bins are taken up to the bin where the
-target falls, and the rows of that bin and of the ``FILL`` bins after it are the only ones that are
-ranked one by one. The uniform numbers are hashes of doc_id and text, so
+target falls, and the rows of that bin and of the ``FILL`` bins after it are ranked one by one. What is
+left then is filled in the same way from all later bins, by their documents that still fit, until
+nothing is left or no document of the source fits it. Bins are even for a document of the source's
+geometric mean size, so long documents do not press the others into the last bins. Exchanges are
+among the rows that were ranked one by one. The uniform numbers are hashes of doc_id and text, so
 reruns agree.
 
 Defined results: a null or empty text has size 0 and is not taken; a null source is a source, the
@@ -23,6 +26,8 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -61,15 +66,22 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame
 
 
 def _take(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rows of one source's open bins, taken by rank while they fit; then the one addition or exchange that
-    comes nearest to what is left, while there is one that comes nearer."""
+    """The rows of one source's open bins, taken by rank while they fit."""
     rows = rows.sort_values(["rank", "row"], kind="stable")
-    size, left = rows["size"].to_numpy(), float(rows["left"].iloc[0])
-    taken = np.zeros(len(size), bool)
-    for i, n in enumerate(size):
+    left, extra = float(rows["left"].iloc[0]), np.zeros(len(rows), np.int32)
+    for i, n in enumerate(rows["size"].to_numpy()):
         if n <= left:
-            taken[i] = True
+            extra[i] = 1
             left -= n
+    return rows[["nth", "row", "rank", "size"]].assign(extra=extra)
+
+
+def _exchange(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one source's rows that were ranked one by one: the one addition or exchange that comes nearest to what is
+    left, while there is one that comes nearer."""
+    rows = rows.sort_values(["rank", "row"], kind="stable")
+    size, left = rows["size"].to_numpy(), float(rows["left"].iloc[0])
+    taken = rows["extra"].to_numpy() > 0
     for _ in range(EXCHANGES):
         inside, outside = np.append(np.flatnonzero(taken), -1), np.flatnonzero(~taken)  # -1: nothing is given back
         if not len(outside):
@@ -92,40 +104,61 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """doc_id, node (hash of the text), size, source, source_size, target, copies for every row of ``docs`` (doc_id, text, source)."""
     slim = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
     slim = cut(slim.withColumn("row", F.monotonically_increasing_id()), "sizes")  # the row number holds once it is written
-    goal = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size").cast("double") * F.col("size")).alias("squares"), F.count(F.when(F.col("size") > 0, 1)).alias("n")), weights)
+    goal = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size").cast("double") * F.col("size")).alias("squares"), F.count(F.when(F.col("size") > 0, 1)).alias("n"), F.avg(F.when(F.col("size") > 0, F.log("size"))).alias("log_size")), weights)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # a ratio within rounding of a whole number is that number
     near = F.round(ratio)
     ratio = F.when(F.abs(ratio - near) < 1e-9, near).otherwise(ratio)
     goal = goal.withColumn("whole", F.floor(ratio).cast("int")).withColumn("part", ratio - F.floor(ratio))
-    goal = cut(goal.withColumn("rest", F.col("part") * F.col("source_size")), "targets")
+    goal = cut(goal.withColumn("rest", F.col("part") * F.col("source_size")).withColumn("nth", F.monotonically_increasing_id()), "targets")
     n = goal.count()
-    goal_small = F.broadcast(goal) if n <= 100_000 else goal  # a row a source
-    rows = slim.join(goal_small, slim["source"].eqNullSafe(goal["source"])).drop(goal["source"])
+    small = lambda df: F.broadcast(df) if n <= 100_000 else df  # a row a source
+    rows = slim.join(small(goal), slim["source"].eqNullSafe(goal["source"])).drop(goal["source"])
     u = (F.pmod(F.xxhash64("doc_id", "node", F.lit(11)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    chance = F.least(F.lit(0.999), F.col("rest") * F.col("size") / F.col("squares"))
-    rank = (u / (1 - u)) / (chance / (1 - chance))
+    chance = lambda size: F.least(F.lit(0.999), F.col("rest") * size / F.col("squares"))
+    odds = lambda p: p / (1 - p)
+    rank = odds(u) / odds(chance(F.col("size")))
     rows = rows.withColumn("rank", F.when((F.col("size") > 0) & (F.col("rest") > 0), rank))
     bins = F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_A_BIN)).cast("double")
-    rows = rows.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * bins).cast("int"))
-    sums = rows.filter("rank is not null").groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy("source").orderBy("bin")
-    sums = sums.withColumn("before", F.coalesce(F.sum("bin_size").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sums = sums.withColumn("order", F.row_number().over(upto))
-    # of each source: the bin where the sum passes the rest
-    edge = sums.filter("before <= rest and before + bin_size > rest").groupBy("source").agg(
-        F.min("bin").alias("edge"), F.min("order").alias("edge_order"), F.min(F.col("rest") - F.col("before")).alias("left")
-    )
-    edge = edge.withColumnRenamed("source", "edge_source")
-    until = sums.join(F.broadcast(edge) if n <= 100_000 else edge, F.col("source").eqNullSafe(F.col("edge_source")))
-    until = until.filter(F.col("order") <= F.col("edge_order") + FILL).groupBy("edge_source", "edge", "left").agg(F.max("bin").alias("until"))
-    until = cut(until, "edges")
-    rows = rows.join(F.broadcast(until) if n <= 100_000 else until, F.col("source").eqNullSafe(F.col("edge_source")), "left")
-    rows = cut(rows.select("doc_id", "node", "size", "source", "source_size", "target", "whole", "row", "rank", "bin", "edge", "until", "left"), "ranked")
-    some = rows.filter("bin >= edge and bin <= until").select("source", "row", "rank", "size", "left")
-    extra = some.groupBy("source").applyInPandas(_take, "row long, extra int")
-    rows = rows.join(extra.filter("extra > 0"), "row", "left")
-    more = F.when(F.col("rank").isNull(), 0).when(F.col("edge").isNull() | (F.col("bin") < F.col("edge")), 1).otherwise(F.coalesce("extra", F.lit(0)))
+    level = F.col("rank") * odds(chance(F.exp("log_size")))
+    rows = rows.withColumn("bin", F.floor(level / (1 + level) * bins).cast("int"))
+    rows = cut(rows.select("doc_id", "node", "size", "source", "source_size", "target", "whole", "row", "nth", "rank", "bin"), "ranked")
+    placed = rows.filter("rank is not null").select("nth", "row", "rank", "size", "bin")
+    state = goal.filter("rest > 0").select("nth", F.col("rest").alias("left"), F.lit(-1).alias("after"), F.lit(float("inf")).alias("most"))
+    upto, source = Window.partitionBy("nth").orderBy("bin"), Window.partitionBy("nth")
+    spans, opened, ends = [], [], []
+    while not state.isEmpty():
+        # what is left is filled from the bins after those that are done, by documents of the size ``most`` at most
+        free = placed.join(small(state), "nth").filter("bin > after and size <= most")
+        sums = free.groupBy("nth", "bin", "left", "after", "most").agg(F.sum("size").alias("bin_size"))
+        sums = sums.withColumn("upto", F.sum("bin_size").over(upto)).withColumn("order", F.row_number().over(upto))
+        # of each source: the bin where the sum passes what is left; none if all that fits may be taken
+        sums = sums.withColumn("edge_order", F.min(F.when(F.col("upto") > F.col("left"), F.col("order"))).over(source))
+        span = sums.groupBy("nth", "left", "after", "most").agg(
+            F.min(F.when(F.col("order") == F.col("edge_order"), F.col("bin"))).alias("edge"),
+            F.max(F.when(F.col("order") <= F.col("edge_order") + FILL, F.col("bin"))).alias("until"),
+            F.sum(F.when(F.col("edge_order").isNull() | (F.col("order") < F.col("edge_order")), F.col("bin_size")).otherwise(0)).alias("spent"),
+        )
+        span = cut(span, "spans")
+        some = placed.join(small(span.withColumn("left", F.col("left") - F.col("spent"))), "nth").filter("bin >= edge and bin <= until and size <= most")
+        some = cut(some.select("nth", "row", "rank", "size", "left").groupBy("nth").applyInPandas(_take, "nth long, row long, rank double, size long, extra int"), "open")
+        more = some.groupBy("nth").agg(F.sum(F.col("size") * F.col("extra")).alias("more"))
+        end = span.join(more, "nth", "left").withColumn("left", F.col("left") - F.col("spent") - F.coalesce("more", F.lit(0)))
+        end = cut(end.select("nth", "left", F.col("until").alias("after")), "ends")
+        spans.append(span.select("nth", "after", "edge", "most"))
+        opened.append(some)
+        ends.append(end.select("nth", "left"))
+        state = end.filter("after is not null and left >= 1").withColumn("most", F.col("left"))
+    if spans:
+        every = lambda parts: reduce(DataFrame.union, parts)
+        least = every(ends).groupBy("nth").agg(F.min("left").alias("left"))
+        extra = every(opened).join(small(least), "nth").groupBy("nth").applyInPandas(_exchange, "row long, extra int")
+        done = every(spans).groupBy("nth").agg(F.collect_list(F.struct("after", "edge", "most")).alias("spans"))
+        rows = rows.join(small(done), "nth", "left").join(extra.filter("extra > 0"), "row", "left")
+        bin_taken = F.exists("spans", lambda x: (F.col("bin") > x["after"]) & (x["edge"].isNull() | (F.col("bin") < x["edge"])) & (F.col("size") <= x["most"]))
+        more = F.when(F.col("rank").isNull(), 0).when(bin_taken, 1).otherwise(F.coalesce("extra", F.lit(0)))
+    else:
+        more = F.lit(0)
     copies = F.when(F.col("size") > 0, F.col("whole") + more).otherwise(0).cast("int")
     return rows.select("doc_id", "node", "size", "source", "source_size", "target", copies.alias("copies"), "row")
 
