@@ -63,3 +63,16 @@ def test_query_columns(spark):
     assert len(rows) == table(spark, SF, "documents").count()
     for r in rows:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_any_white_space_parts_words(spark):
+    g = T.Grammar({})
+    text = "You are an idiot\nthey said nothing\nI will not hurt you, loser\nyou are trash"
+    want = g.weight(text)
+    assert want[1] == 3
+    for space in "\t\r\x0b\x0c\xa0\u2003\u3000":
+        assert g.weight(text.replace(" ", space)) == want and g.weight(text.replace(" ", f" {space}")) == want
+    assert g.weight(text.replace("\n", "\r\n")) == want
+    rows = spark.createDataFrame([(text.replace(" ", "\xa0").replace("\n", "\r\n"), 1)], "text string, toxic int")
+    plain = spark.createDataFrame([(text, 1)], "text string, toxic int")
+    assert sorted(map(tuple, T.features(rows).collect())) == sorted(map(tuple, T.features(plain).collect()))

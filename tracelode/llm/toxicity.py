@@ -55,6 +55,8 @@ CLASSES = {
 }
 SEED_WEIGHT, THREAT_WEIGHT = 2.0, 3.0
 WITH_TARGET, NEGATED, REPORTED = 1.25, 0.4, 0.6
+#: White space other than the space and the line feed; all of it parts words like a space.
+_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _ENDS, _STRIP = ".!?;:\n", ".,!?;:\"'()[]{}<>«»“”„*|%#$&"
 
 
@@ -77,7 +79,10 @@ class Grammar:
 
     def weight(self, text: str | None) -> tuple[float, int]:
         """Sum of the weights of the matched clauses, and their number."""
-        words = (text or "").lower().replace("\n", " \n ").split(" ")
+        text = (text or "").lower()
+        for space in _SPACES:
+            text = text.replace(space, " ")
+        words = text.replace("\n", " \n ").split(" ")
         seen = set()
         known = self.known
         if len(known) > 150_000:
@@ -158,7 +163,7 @@ def features(rows: DataFrame) -> DataFrame:
     """feature, p, n, words: words of ``rows`` (text, toxic), and beginnings, marked by ``^``; in how many contexts of
     toxic and of other texts they stand; and how many words of toxic texts are behind it. A context is the words
     before and after, so what copies of a text repeat counts once."""
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
+    words = F.split(F.translate(F.lower(F.coalesce("text", F.lit(""))), _SPACES, " " * len(_SPACES)), r"\s+")
     at = lambda w, i: F.coalesce(F.get(w, i), F.lit(""))
     rows = rows.withColumn("w", words)
     pairs = F.transform("w", lambda x, i: F.struct(F.btrim(x, F.lit(_STRIP)).alias("word"), F.xxhash64(at(F.col("w"), i - 1), at(F.col("w"), i + 1)).alias("context")))
