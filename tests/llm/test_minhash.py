@@ -105,3 +105,13 @@ def test_signature_does_not_depend_on_neighbours():
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert {(r["node"], r["label"]) for r in M.components(edges).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+
+
+def test_one_document_of_a_class_stays(spark):
+    """Different near-duplicate texts without ids, or with one id, are one class, of which one row stays."""
+    rng = random.Random(3)
+    null, same = family(rng, 3, 120, 2), family(rng, 3, 120, 2)
+    rows = [(None, t) for t in null] + [(7, t) for t in same] + [(8, same[0]), (None, same[1]), (7, same[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in M.drop_near_duplicates(docs).collect())
+    assert [i for i, _ in kept] == [0, 7] and kept[0][1] in null and kept[1][1] in same

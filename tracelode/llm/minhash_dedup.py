@@ -311,8 +311,8 @@ def _plain(text: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the text), class_id (the least doc_id of the class), class_size for every
-    row of ``docs`` (doc_id, text)."""
+    """doc_id, node (hash of the text), class_id (the least doc_id of the class), class_size, stays (the
+    node is the least of those with that doc_id) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select("doc_id", _plain(F.col("text")).alias("text")).withColumn("node", F.xxhash64("text"))
@@ -345,9 +345,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             label = components(edges.union(more))
     flat = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    whole = flat.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    flat = flat.join(whole, "label").select("node", "class_id", "class_size")
-    return own.select("doc_id", "node").join(flat, "node").select("doc_id", "node", "class_id", "class_size")
+    # nulls last, as in the least of the doc_ids alone
+    one = F.min(F.struct(F.col("first").isNull(), "first", "node")).getField("node")
+    whole = flat.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), one.alias("one"))
+    flat = flat.join(whole, "label").select("node", "class_id", "class_size", (F.col("node") == F.col("one")).alias("of_one"))
+    stays = F.col("of_one") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return own.select("doc_id", "node").join(flat, "node").select("doc_id", "node", "class_id", "class_size", stays.alias("stays"))
 
 
 def one_each(edges: DataFrame) -> DataFrame:
@@ -356,10 +359,10 @@ def one_each(edges: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: those with its least ``doc_id``; of rows that
-    repeat text and doc_id, one."""
+    """One row of ``docs`` for each class: of its least ``doc_id``, and of the least node where several
+    texts of the class have that doc_id or none has any; of rows that repeat text and doc_id, one."""
     found = near_duplicates(docs)
-    stay = cut(found.filter("doc_id <=> class_id").groupBy("doc_id", "node").count(), "stay")
+    stay = cut(found.filter("stays").groupBy("doc_id", "node").count(), "stay")
     node = F.xxhash64(_plain(F.col("text")))
     twice = not stay.filter("count > 1").isEmpty()
     name = free_name(docs, "node_of")
