@@ -72,3 +72,17 @@ def test_smoothing_and_threshold():
     bumps = H.smooth([0, 0, 9, 0, 0])
     assert bumps[2] == max(bumps) and bumps[1] == pytest.approx(bumps[3])
     assert 1 < H.threshold([1, 1, 1, 5, 5]) < 5 and H.threshold([3.0]) == 3.0 and H.threshold([3.0, 3.1, 3.2]) == 3.0
+
+
+def test_nothing_of_the_article_is_dropped():
+    p = lambda w, n: "".join(f"<p>{w}{i} {'several words of running text ' * 8}</p>" for i in range(n))
+    foot = "<footer><p>imprint</p></footer>"
+    for page, last in (
+        (f"<body><div><div>{p('a', 19)}</div><div>{p('b', 1)}</div></div>{foot}</body>", "b0"),
+        (f"<body><main><article>{p('a', 6)}</article><article>{p('b', 4)}</article></main>{foot}</body>", "b3"),
+        (f"<body><article>{p('a', 6)}</article><article>{p('b', 4)}</article>{foot}</body>", "b3"),
+        (f"<body><p>short start</p>{p('a', 6)}<p>short</p>{p('b', 4)}<p>short end</p>{foot}</body>", "short end"),
+        (f"<body><div>{p('a', 19)}</div><div>{p('b', 1)}</div>{foot}</body>", "b0"),
+    ):
+        text, blocks = H.extract(page)
+        assert blocks == page.count("<p>") - 1 and text.split("\n\n")[-1].startswith(last) and "imprint" not in text

@@ -5,9 +5,10 @@ text); for each line its characters, its tags, its characters in links, and the
 around it are kept. The text-to-tag ratio of a line, its characters over its tags, is smoothed by a
 Gaussian over the neighbouring lines, and a threshold between two clusters of the smoothed ratios
 (one-dimensional two-means on their logarithms) selects the content lines. What is selected decides
-on a region: the innermost article-like container that holds most of the selected characters, or
-else the innermost container of any kind that does. The lines of that region, short headings
-included, are the text; containers that are page furniture (menus, headers, footers, sidebars,
+on a region: if article-like containers hold most of the selected characters, in each outermost one of
+them the innermost that holds all its selected lines; or else the innermost container of any kind that
+holds all selected lines; or else, where only the body does, the parts of the body that hold some. The
+lines of that region, short headings included, are the text; containers that are page furniture (menus, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts, styles) never count and never are part of it.
 
 Defined results: null or empty html gives empty text; a page without content lines gives empty text;
@@ -29,7 +30,7 @@ from .common import small_batches, table
 
 SIGMA = 1.0  # lines
 APART = 0.7  # of the clusters' logarithms, at least
-IN_ARTICLE, IN_OTHER = 0.5, 0.9  # of the selected characters that a region of either kind holds, at least
+IN_ARTICLE = 0.5  # of the selected characters that article-like containers hold, at least
 
 #: HTML's element names, by their role here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +41,7 @@ BLOCK = set(
 HIDDEN = set("script style template head title noscript iframe object svg canvas select option textarea button".split())
 FURNITURE = set("nav header footer aside form menu dialog".split()) | HIDDEN
 ARTICLE = set("article main".split())
+TEXT = set("p h1 h2 h3 h4 h5 h6 li td blockquote pre html body".split())  # no regions
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "option"}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Parts of class names and ids of page furniture.
@@ -198,27 +200,30 @@ def extract(html: str | None) -> tuple[str, int]:
     logs = [math.log1p(r) for r in ratios]
     cut = threshold(logs)
     chosen = [x >= cut for x in logs]
-    weight: dict[int, int] = {}
-    total = 0
-    for (line, text), yes in zip(rows, chosen, strict=True):
-        if yes:
-            total += len(text)
-            for c in line.chain:
-                weight[c] = weight.get(c, 0) + len(text)
-    articles = [c for c, w in weight.items() if w >= IN_ARTICLE * total and parser.kinds[c] in ARTICLE]
-    plain = [c for c, w in weight.items() if w >= IN_OTHER * total and parser.kinds[c] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre", "html", "body")]
-    if articles:
-        region = max(articles)
-    elif plain:
-        region = max(plain)
-    else:  # the lines from the first to the last that is selected
-        picked = [i for i, yes in enumerate(chosen) if yes]
-        first, last = picked[0], picked[-1]
-        while first > 0 and any(parser.kinds[c] in ("h1", "h2") for c in rows[first - 1][0].chain):
-            first -= 1
-        kept = [text for _, text in rows[first : last + 1]]
+    kinds = parser.kinds
+    picked = [i for i, yes in enumerate(chosen) if yes]
+    inside: dict[int, list[int]] = {}  # the selected lines of each outermost article-like container
+    for i in picked:
+        outer = next((c for c in rows[i][0].chain if kinds[c] in ARTICLE), None)
+        if outer is not None:
+            inside.setdefault(outer, []).append(i)
+    chars = lambda lines: sum(len(rows[i][1]) for i in lines)
+    holds = lambda lines, fit: max((c for c in set.intersection(*[set(rows[i][0].chain) for i in lines]) if fit(kinds[c])), default=None)
+    if sum(map(chars, inside.values())) >= IN_ARTICLE * chars(picked):
+        regions = {holds(lines, ARTICLE.__contains__) for lines in inside.values()}
+    else:
+        regions = {holds(picked, lambda kind: kind not in TEXT)}
+    if None not in regions:
+        kept = [text for line, text in rows if regions.intersection(line.chain)]
         return "\n\n".join(kept), len(kept)
-    kept = [text for line, text in rows if region in line.chain]
+    # the parts of the body that hold selected lines, and all between the first and the last of them
+    part = [next((c for c in line.chain if kinds[c] not in TEXT), None) for line, _ in rows]
+    parts = {part[i] for i in picked}
+    at = [i for i, x in enumerate(part) if x in parts]
+    first, last = at[0], at[-1]
+    while first > 0 and any(kinds[c] in ("h1", "h2") for c in rows[first - 1][0].chain):
+        first -= 1
+    kept = [text for _, text in rows[first : last + 1]]
     return "\n\n".join(kept), len(kept)
 
 
