@@ -86,3 +86,48 @@ def test_nothing_of_the_article_is_dropped():
     ):
         text, blocks = H.extract(page)
         assert blocks == page.count("<p>") - 1 and text.split("\n\n")[-1].startswith(last) and "imprint" not in text
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "with-sidebar", "sidebar-right", "comments-open", "no-footer", "page has-nav"])
+def test_names_that_only_mention_furniture(name):
+    body = f"<div class='{name}'>{MENU}<div><h1>Title</h1><p>{P * 3}</p><p>{P * 2}</p></div><div class='sidebar'>{P}</div></div>{FOOT}"
+    assert H.extract(page(body))[0] == f"Title\n\n{(P * 3).strip()}\n\n{(P * 2).strip()}"
+    assert H.extract(page(f"<form class='{name}'>{body}</form>"))[0] == f"Title\n\n{(P * 3).strip()}\n\n{(P * 2).strip()}"
+
+
+def teasers(n, long=()):
+    return "".join(f"<div><a href='/{i}'>read this</a> {P[:64] if i in long else 'by X'}</div>" for i in range(n))
+
+
+PLAIN = f"<div>{teasers(12, (5,))}</div><div><h2>Title</h2><p>{P * 3}</p><p>Short.</p><p>{P * 2}</p></div><div>{teasers(12)}</div>"
+WANT = f"Title\n\n{(P * 3).strip()}\n\nShort.\n\n{(P * 2).strip()}"
+
+
+def test_ratios_smoothing_and_clusters_select(monkeypatch):
+    """A page without any name, role or tag of meaning: only its ratios tell the article from lists of links, one of which is long."""
+    assert H.extract(page(PLAIN))[0] == WANT
+    with monkeypatch.context() as m:
+        m.setattr(H, "smooth", lambda values, sigma=0: values)
+        assert H.extract(page(PLAIN))[0] != WANT
+    with monkeypatch.context() as m:
+        m.setattr(H, "threshold", min)
+        assert H.extract(page(PLAIN))[0] != WANT
+
+
+def test_an_article_around_the_region_widens_it():
+    body = f"<div>{teasers(9)}</div><main><article><h1>Title</h1><p>Short.</p><div><p>{P * 3}</p><p>{P * 2}</p></div><p>End.</p></article><div>{teasers(3)}</div></main>"
+    assert H.extract(page(body))[0] == f"Title\n\nShort.\n\n{(P * 3).strip()}\n\n{(P * 2).strip()}\n\nEnd."
+
+
+def test_nesting_takes_time_in_proportion():
+    import time
+
+    def took(tag, n):
+        html = page(f"<{tag}>" * n + P + f"</{tag}>" * n)
+        begin = time.perf_counter()
+        assert H.extract(html)[0] == P.strip()
+        return time.perf_counter() - begin
+
+    for tag in ("div", "center", "section", "blockquote"):
+        took(tag, 100)
+        assert took(tag, 20_000) < 12 * max(0.05, took(tag, 5_000))
