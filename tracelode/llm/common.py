@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+HOT_ROWS, HOT_KEYS = 2_000, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names
-    one. Only where it is unset (tests on one machine) a folder of our own is made and named."""
+    one. Only where it is unset (tests on one machine) a folder of our own is made and named; a cluster must name one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="tracelode-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -29,7 +34,39 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what ``cut`` wrote of ``frames``; for tables whose readers are written themselves."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int) -> DataFrame:
+    """``left`` joined with ``right`` on ``on``, where ``right`` has one row a key and its column ``n`` says how many rows of
+    ``left`` have that key, of ``rows`` in all. Keys of more than ``HOT_ROWS`` rows, and of more than ``rows / HOT_KEYS``, are
+    hot; there are ``HOT_KEYS`` of them at most, so they are broadcast and their rows stay where they are. The rest is joined by shuffle.
+    Both sides should be written tables, as they are read more than once."""
+    limit = max(HOT_ROWS, rows // HOT_KEYS)
+    if rows <= limit:
+        return left.join(right, on)
+    hot = right.filter(F.col(n) > limit)
+    if hot.isEmpty():
+        return left.join(right, on)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return left.join(F.broadcast(hot), on).unionByName(rest.join(right.filter(F.col(n) <= limit), on))
+
+
+def numbered_copies(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with equal rows numbered from 0 in the new column ``name``: rows that the input's files and their order don't change."""
+    every = [F.col(f"`{c}`") for c in df.columns]
+    counts = df.groupBy(*every).agg(F.count(F.lit(1)).alias(name))
+    return counts.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1)))
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -17,7 +17,8 @@ of at least 0.8 are linked; classes are the connected components.
 
 Defined results: a null text, or one of white space, counts as empty, all empty texts are copies of each other; a null
 ``doc_id`` is kept, and is never a class id while the class has another; repeated rows are copies;
-other columns are ignored; an empty table gives an empty result.
+other columns are ignored; an empty table gives an empty result. Texts are told apart by a 64-bit hash: of n different texts
+about n^2 / 2^65 pairs would be taken for one (less than one below 6 billion texts).
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, small_batches, table
+from .common import HOT_KEYS, cut, free_name, hot_join, release, small_batches, table
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Ids up to this many (8 bytes each) are broadcast; above, the join is shuffled.
 BROADCAST_IDS = 500_000
+#: Members of a hub that are compared with one copy of its text, and of a class that are compared at once.
+CHUNK = 512
 #: An element that more members of a hub have counts as the hub's.
 COMMON = 32
 _CHARS = 1_500_000  # of text handled at once in a worker
@@ -217,11 +220,16 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _paired(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b and others) with text_a and text_b; rows of one b are together. ``texts``: node, text."""
+    """``pairs`` (a, b and others) with text_a and text_b; rows of one b are together, ``CHUNK`` about, so that a hub of many
+    members is dealt to many tasks, with a copy of its text each. ``pairs`` is written; ``texts``: node, text."""
     small_batches(pairs.sparkSession)
+    hubs = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("members")), "hubs")
+    chunks = F.ceil(F.col("members") / CHUNK)
+    pairs = hot_join(pairs, hubs, ["b"], "members", pairs.count()).withColumn("chunk", F.pmod(F.xxhash64("a"), chunks))
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(hubs, "b")
+    right = right.select("b", "text_b", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
+    return pairs.drop("members").join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), ["b", "chunk"])
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -256,13 +264,14 @@ def _open_pairs(star: DataFrame, label: DataFrame, texts: Callable[[DataFrame],
     member = star.join(label.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
     parts = member.groupBy("b", "label").agg(F.count(F.lit(1)).alias("k"))
     major = F.max(F.struct("k", "label")).getField("label")
-    open_ = parts.groupBy("b").agg(major.alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("b", "major")
-    member = cut(member.join(open_, "b").select("a", "b", "label", (F.col("label") != F.col("major")).alias("minor")), "open")
+    open_ = parts.groupBy("b").agg(major.alias("major"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("members")).filter("parts > 1").select("b", "major", "members")
+    member, open_ = cut(member, "labelled"), cut(open_, "undecided")
+    member = cut(hot_join(member, open_, ["b"], "members", member.count()).select("a", "b", "label", (F.col("label") != F.col("major")).alias("minor")), "open")
     kinds = "b long, a long, label long, minor boolean, n long, common long, rest array<long>"
     profile = cut(_paired(member, texts(member)).mapInPandas(_profiled, kinds), "profiles")
-    outside = profile.select("b", "a", F.explode("rest").alias("element"))
-    often = outside.groupBy("b", "element").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    outside = cut(outside.join(often, ["b", "element"]), "outside")
+    outside = cut(profile.select("b", "a", F.explode("rest").alias("element")), "rest")
+    often = cut(outside.groupBy("b", "element").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "often")
+    outside = cut(hot_join(outside, often, ["b", "element"], "k", outside.count()), "outside")
     more = outside.filter(F.col("k") > COMMON).groupBy("b", "a").agg(F.count(F.lit(1)).alias("more"))
     held = (F.col("common") + F.coalesce("more", F.lit(0))).alias("c")
     sizes = cut(profile.join(more, ["b", "a"], "left").select("b", "a", "label", "minor", "n", held), "sizes")
@@ -275,8 +284,15 @@ def _open_pairs(star: DataFrame, label: DataFrame, texts: Callable[[DataFrame],
     # pairs whose sizes allow it though they share nothing outside V: sizes in classes of two per cent
     size = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.02)).cast("int")
     low, high = F.col("n") * SIMILARITY, F.least(F.col("n") / SIMILARITY, bound * F.col("c") - F.col("n"))
-    reach = sizes.filter("minor").filter(high >= low).withColumn("size", F.explode(F.sequence(size(low), size(high) + 1))).alias("x")
-    fits = reach.join(sizes.withColumn("size", size(F.col("n"))).alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.size") == F.col("y.size")) & differ & enough(F.lit(0)))
+    reach = sizes.filter("minor").filter(high >= low).withColumn("size", F.explode(F.sequence(size(low), size(high) + 1)))
+    # classes of many members are dealt out in blocks; a member that looks at such a class looks at each of them
+    sizes = sizes.withColumn("size", size(F.col("n")))
+    limit = max(CHUNK, sizes.count() // HOT_KEYS)
+    large = cut(sizes.groupBy("b", "size").agg(F.ceil(F.count(F.lit(1)) / limit).alias("blocks")).filter("blocks > 1"), "large")  # HOT_KEYS rows at most
+    blocks = F.coalesce("blocks", F.lit(1))
+    others = sizes.join(F.broadcast(large), ["b", "size"], "left").withColumn("block", F.pmod(F.xxhash64("a"), blocks)).alias("y")
+    reach = reach.join(F.broadcast(large), ["b", "size"], "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).alias("x")
+    fits = reach.join(others, (F.col("x.b") == F.col("y.b")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.block") == F.col("y.block")) & differ & enough(F.lit(0)))
     # pairs that share what few members have
     few = outside.filter(F.col("k") <= COMMON).select("b", "a", "element")
     rows = few.join(sizes, ["b", "a"])
@@ -292,17 +308,22 @@ def _open_pairs(star: DataFrame, label: DataFrame, texts: Callable[[DataFrame],
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (a, b); the label is the least node of its component.
     Each round takes the least label around and then the label of the label, and is written, so a
-    component of n nodes needs about log n rounds."""
+    component of n nodes needs about log n rounds. Nodes of very many links, and labels of very many nodes, are joined apart."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"), F.count(F.lit(1)).alias("links")), "labels")
+    links, nodes = both.count(), labels.count()
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        around = labels.select(F.col("node").alias("b"), "label", "links")
+        near = hot_join(both, around, ["b"], "links", links).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = cut(labels.join(near, "node").select("node", "links", F.col("label").alias("old"), F.least("label", "near").alias("mid")), "steps")
         up = labels.select(F.col("node").alias("mid"), F.col("label").alias("top"))
-        new = cut(step.join(up, "mid").select("node", "old", F.least("mid", "top").alias("label")), "labels")
-        labels = new.select("node", "label")
+        up = cut(step.groupBy("mid").agg(F.count(F.lit(1)).alias("nodes")).join(up, "mid"), "tops")
+        new = cut(hot_join(step, up, ["mid"], "nodes", nodes).select("node", "links", "old", F.least("mid", "top").alias("label")), "labels")
+        release(labels, step, up)
+        labels = new
         if new.filter("label <> old").isEmpty():
-            return labels
+            release(both)
+            return labels.select("node", "label")
 
 
 def _plain(text: Column) -> Column:
@@ -316,16 +337,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select("doc_id", _plain(F.col("text")).alias("text")).withColumn("node", F.xxhash64("text"))
-    nodes = cut(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
+    slim = cut(own.select("doc_id", "node"), "slim")
+    nodes = cut(slim.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
     signed = cut(own.select("node", "text").filter("text rlike '\\\\S'").mapInPandas(_signed, "node long, bands array<long>"), "signed")
-    member = signed.groupBy("node").agg(F.any_value("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
-    member = cut(member, "members")
-    shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    member = cut(member.join(shared, "key"), "shared")
+    every = cut(signed.groupBy("node").agg(F.any_value("bands").alias("bands")).select("node", F.explode("bands").alias("key")), "members")
+    shared = cut(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    member = cut(hot_join(every, shared, ["key"], "n", every.count()), "shared")
+    release(signed, every, shared)
     # the hub of a bucket: the member that shares most buckets with most others
     score = member.groupBy("node").agg(F.sum("n").alias("score"))
-    hub = member.join(score, "node").groupBy("key").agg(F.max(F.struct("score", F.negative("node").alias("minus"), "node")).getField("node").alias("b"))
-    star = cut(member.join(hub, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "star")
+    best = F.max(F.struct("score", F.negative("node").alias("minus"), "node")).getField("node")
+    hub = cut(member.join(score, "node").groupBy("key").agg(best.alias("b"), F.count(F.lit(1)).alias("members")), "hubs")
+    star = cut(hot_join(member, hub, ["key"], "members", member.count()).filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "star")
+    release(member, hub)
     firsts = nodes.select("node", "first")
 
     def texts(pairs: DataFrame) -> DataFrame:
@@ -344,13 +368,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         more = cut(one_each(_verify(pairs, texts(pairs))), "edges")
         if not more.isEmpty():
             label = components(edges.union(more))
-    flat = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    flat = cut(nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "flat")
     # nulls last, as in the least of the doc_ids alone
     one = F.min(F.struct(F.col("first").isNull(), "first", "node")).getField("node")
-    whole = flat.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), one.alias("one"))
-    flat = flat.join(whole, "label").select("node", "class_id", "class_size", (F.col("node") == F.col("one")).alias("of_one"))
+    whole = flat.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), one.alias("one"), F.count(F.lit(1)).alias("texts"))
+    whole = cut(whole, "classes")
+    flat = hot_join(flat, whole, ["label"], "texts", flat.count()).select("node", "copies", "class_id", "class_size", (F.col("node") == F.col("one")).alias("of_one"))
+    flat = cut(flat, "classed")
     stays = F.col("of_one") & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return own.select("doc_id", "node").join(flat, "node").select("doc_id", "node", "class_id", "class_size", stays.alias("stays"))
+    return hot_join(slim, flat, ["node"], "copies", slim.count()).select("doc_id", "node", "class_id", "class_size", stays.alias("stays"))
 
 
 def one_each(edges: DataFrame) -> DataFrame:
