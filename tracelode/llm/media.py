@@ -12,8 +12,10 @@ samples. Samples are read back by range too, once a digest, shard by shard in or
 A shard's name is unique to the attempt that wrote it, and the index is written before it is used: an
 attempt that is repeated leaves an unused file, never a row without one.
 
+Rows of a payload that very many rows have are joined with its place by broadcast, where they are.
+
 Defined results: a null text is empty; an empty text is one row of spaces; equal texts have equal
-values; rows that repeat are repeated; other columns are ignored; an empty table gives an empty result.
+values; rows that repeat are repeated, and ties of places don't matter, as equal payloads have equal bytes wherever they are; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, small_batches, table
+from .common import cut, hot_join, shared_dir, small_batches, table
 
 WIDTH = 192
 SHARD_BYTES = 64 << 20
@@ -144,9 +146,9 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def places(index: DataFrame) -> DataFrame:
-    """digest, shard, offset, length: the one place of each payload."""
+    """digest, shard, offset, length, rows: the one place of each payload, and how many rows have it."""
     place = F.min(F.struct("shard", "offset", "length"))
-    return index.groupBy("digest").agg(place.alias("p")).select("digest", "p.*")
+    return index.groupBy("digest").agg(place.alias("p"), F.count(F.lit(1)).alias("rows")).select("digest", "p.*", "rows")
 
 
 def _ranges(fs: pyarrow.fs.FileSystem, root: str, batches: Iterator[pd.DataFrame], most: tuple[int | None, ...]) -> Iterator[tuple[pd.DataFrame, Iterator[tuple[bytes, ...]]]]:
@@ -206,8 +208,9 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     index = store(docs, folder)
     where = cut(places(index), "media-places")
-    read = cut(read_payloads(where, folder), "media-read")
-    return index.select("doc_id", "n_bytes", "digest").join(where, "digest").join(read, "digest")
+    read = cut(read_payloads(where, folder).join(where, "digest"), "media-read")
+    own = index.select("doc_id", "n_bytes", "digest")
+    return hot_join(own, read, ["digest"], "rows", own.count()).drop("rows")
 
 
 def _hex(name: str) -> Column:
