@@ -1,7 +1,8 @@
 """Sharding by sampled splitters, in DataFrame functions only. Its law is ``bytes``: shards of near equal size.
 
 Records are ordered by the hash of their text, so equal texts stand together, then by a hash of
-doc_id and of the row. A sample of keys, drawn with chances in proportion to the records' sizes, is
+doc_id and of the number of the record among those equal to it, so the result depends on the records alone, not on
+how files or partitions hold them. A sample of keys, drawn with chances in proportion to the records' sizes, is
 all that the driver sees of the rest (``SAMPLE`` keys are expected at most, whatever the input); its
 quantiles are splitters of ranges. A group that is larger than a range has several splitters among its rows, so
 hot groups are cut by the same rule. Each range is subdivided into bins by the hash, more of them the
@@ -14,7 +15,7 @@ shard. A group of equal texts within a bin moves as one while it is under ``WHOL
 larger one is cut between rows.
 
 Defined results: a null text has size 1 (no bytes, plus one) and checksum 0, and is one with the
-empty text; null doc_ids are a value like any other; repeated rows are separate records; other
+empty text; null doc_ids are a value like any other; repeated rows are separate records, numbered by their count; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, numbered_copies, table
 
 SHARDS = 16
 SAMPLE = 65_536  # keys that the driver gets, expected
@@ -49,20 +50,20 @@ def _rank(splitters: list[tuple[int, int]], key: Column, tie: Column) -> Column:
     return F.aggregate(F.array([F.lit(s) for s in steps]), F.lit(0), step)
 
 
-def place_large(rows: list[tuple[int, int, int]], shards: int, share: float) -> tuple[list[tuple[int, int, int]], list[float], list[int]]:
-    """(row, shard, slot) of the large records (key, row, size), and the bytes and records that each shard then has.
+def place_large(rows: list[tuple[int, int, int, int]], shards: int, share: float) -> tuple[list[tuple[int, int, int, int, int]], list[float], list[int]]:
+    """(key, tie, nth, shard, slot) of the large records (key, tie, nth, size), and the bytes and records that each shard then has.
     Records of one key are one while they are under ``WHOLE_LARGE`` of a shard's ``share``."""
-    units: dict[tuple, list[tuple[int, int]]] = {}
+    units: dict[tuple, list[tuple[int, int, int, int]]] = {}
     total: dict[int, int] = {}
-    for key, _, size in rows:
+    for key, _, _, size in rows:
         total[key] = total.get(key, 0) + size
-    for key, row, size in sorted(rows):
-        units.setdefault((key,) if total[key] <= WHOLE_LARGE * share else (key, row), []).append((row, size))
+    for row in sorted(rows):
+        units.setdefault(row[:1] if total[row[0]] <= WHOLE_LARGE * share else row[:3], []).append(row)
     load, count, out = [0.0] * shards, [0] * shards, []
-    for _, own in sorted(units.items(), key=lambda u: (-sum(s for _, s in u[1]), u[0])):
+    for _, own in sorted(units.items(), key=lambda u: (-sum(x[3] for x in u[1]), u[0])):
         k = min(range(shards), key=lambda i: (load[i], i))
-        for row, size in own:
-            out.append((row, k, count[k]))
+        for key, tie, nth, size in own:
+            out.append((key, tie, nth, k, count[k]))
             load[k] += size
             count[k] += 1
     return out, load, count
@@ -77,14 +78,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
     )
-    slim = slim.withColumn("row", F.monotonically_increasing_id())
-    slim = cut(slim.withColumn("tie", F.xxhash64("doc_id", "row")), "slim")  # the row number holds once it is written
+    slim = cut(numbered_copies(slim, "nth").withColumn("tie", F.xxhash64("doc_id", "nth")), "slim")
     total = slim.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     if not total["rows"]:
         return slim.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     share = total["bytes"] / shards
     big = slim.filter(F.col("size") > LARGE * share)  # their number is bounded by their size
-    large, load, count = place_large([tuple(r) for r in big.select("key", "row", "size").collect()], shards, share)
+    large, load, count = place_large([tuple(r) for r in big.select("key", "tie", "nth", "size").collect()], shards, share)
     if large:
         slim = slim.filter(F.col("size") <= LARGE * share)
     room = [max(0.0, share - x) for x in load]
@@ -115,7 +115,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         (F.col("range_bytes_before") + F.coalesce(F.sum("bytes").over(before), F.lit(0))).alias("bytes_before"),
         (F.col("range_rows_before") + F.coalesce(F.sum("rows").over(before), F.lit(0))).alias("rows_before"),
     )
-    order = Window.partitionBy("range", "bin").orderBy("key", "tie")
+    order = Window.partitionBy("range", "bin").orderBy("key", "tie", "doc_id", "nth")
     group = Window.partitionBy("range", "bin", "key")
     placed = bins.withColumns(
         {
@@ -137,8 +137,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     out = placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("place") - F.col("first") + before_it).cast("long").alias("slot"))
     if not large:
         return out
-    where = slim.sparkSession.createDataFrame(large, "row long, shard int, slot long")  # a row a large record
-    return out.unionByName(big.join(F.broadcast(where), "row").select("doc_id", "size", "text_crc32", "shard", "slot"))
+    where = slim.sparkSession.createDataFrame(large, "key long, tie long, nth long, shard int, slot long")  # a row a large record
+    return out.unionByName(big.join(F.broadcast(where), ["key", "tie", "nth"]).select("doc_id", "size", "text_crc32", "shard", "slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
