@@ -71,3 +71,44 @@ def at_most(of, at, sizes, b):
 
 def test_nothing_is_wasted_on_small_input():
     assert P.pack([5], (8, 512))[2] == [8] and P.pack([], (8,)) == ([], [], []) and P.pack([0, 0], (8,))[0] == [0, 0]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_whole_rule_by_plain_search(seed):
+    """Best fit, and the bin size of least cost where a bin is opened, by formulas of its own."""
+    rng = random.Random(seed)
+    lengths = (16, 32, 64, 128)
+    sizes = [min(128, int(rng.paretovariate(0.7))) for _ in range(rng.randint(1, 250))]
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    room, since, size_of, where, load = [], [], [], {}, []
+    for clock, i in enumerate(order):
+        fit = [b for b in range(len(room)) if room[b] >= sizes[i]]
+        if fit:
+            b = min(fit, key=lambda b: (room[b], -since[b]))  # of equal ones the latest
+        else:
+            tail = sum(sizes[j] for j in order[clock:])
+            mean = tail / (len(order) - clock)
+            cost = {}
+            for n in (n for n in lengths if n >= sizes[i]):
+                to_fill = min(n - sizes[i], max(0, tail - sizes[i]))
+                filled = to_fill - min(to_fill, mean / 2)
+                cost[n] = (n - sizes[i] - filled + P.OVERHEAD) / (sizes[i] + filled + 1)
+            b = len(room)
+            size_of.append(min(cost, key=lambda n: (cost[n], n)))
+            room.append(size_of[b])
+            since.append(0)
+            load.append(0)
+        where[i] = b
+        load[b] += sizes[i]
+        room[b] -= sizes[i]
+        since[b] = clock
+    of, _, fitted = P.pack(sizes, lengths)
+    assert of == [where[i] for i in range(len(sizes))]
+    assert fitted == [min(n for n in lengths if n >= x) for x in load]
+
+
+def test_layout_does_not_matter(spark):
+    docs = documents(spark)
+    docs = docs.union(docs.limit(50)).union(docs.limit(50))
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert key(P.pack_documents(docs)) == key(P.pack_documents(docs.repartition(7)))

@@ -11,7 +11,7 @@ whatever the input, and sources or equal texts don't meet in one. Equal lengths
 compared, so a bucket takes about as many steps as it has pieces.
 
 Defined results: a null or empty text has length 0 and one piece of length 0; documents that repeat
-are packed each; other columns are ignored; an empty table gives an empty result.
+are packed each, and numbered by their count, so files and partitions don't change the result; pieces of equal length go by doc_id, text and number; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, numbered_copies, table
 from .mixing import words
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -80,12 +80,12 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataF
     """doc_id, nth (piece of its document), start and length (words), bin_id, place (in the bin), bin_length for
     every piece of every row of ``docs`` (doc_id, text)."""
     slim = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), words(F.col("text")).alias("words"))
-    slim = cut(slim.withColumn("row", F.monotonically_increasing_id()), "lengths")  # the row number holds once it is written
+    slim = cut(numbered_copies(slim, "row"), "lengths")
     buckets = max(1, -(-slim.count() // BUCKET))
     top = max(lengths)
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("words") - 1, F.lit(0)), F.lit(top).cast("long"))
     pieces = slim.select(
-        F.pmod(F.xxhash64("doc_id", "row"), F.lit(buckets)).alias("bucket"), "doc_id", "node", "row", "words", F.posexplode(starts).alias("nth", "start")
+        F.pmod(F.xxhash64("doc_id", "node", "row"), F.lit(buckets)).alias("bucket"), "doc_id", "node", "row", "words", F.posexplode(starts).alias("nth", "start")
     ).withColumn("length", F.least(F.lit(top).cast("long"), F.col("words") - F.col("start")))
     permitted = tuple(sorted(lengths))
 
