@@ -80,3 +80,57 @@ def test_documents_longer_than_the_rest(spark):
     target = got[0]["target"]
     assert 90_000 < target < 110_000 and {r["size"] > target for r in got} == {True, False}
     assert abs(sum(r["size"] * r["copies"] for r in got) - target) <= 100
+
+
+def test_clashing_names(spark):
+    docs = documents(spark)
+    for name in ("least", "most", "all", "total", "n", "row", "id", "of", "node", "times", "plan_id", "taken", "copies", "rank", "Size"):
+        docs = docs.withColumn(name, docs.doc_id + 1)
+    docs = docs.union(docs.limit(20))
+    out = M.mix_documents(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r["least"] == r["doc_id"] + 1 for r in rows)
+    assert Counter(r["doc_id"] for r in rows) == Counter({k: v for k, v in sum_copies(M.mix(docs).collect()).items() if v})
+
+
+def sum_copies(rows):
+    out = Counter()
+    for r in rows:
+        out[r["doc_id"]] += r["copies"]
+    return out
+
+
+def test_against_plain_pareto_sampling(spark):
+    """Documents by the odds of their number over the odds of their chance, taken while they fit; a few exchanges may follow."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "w " * (1 + i * 13 % 70), "a" if i < 3_000 else "b") for i in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    u = {r["doc_id"]: r["u"] for r in docs.select("doc_id", ((F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(11)), F.lit(1 << 40)) + 0.5) / float(1 << 40)).alias("u")).collect()}
+    got = M.mix(docs, weights=(1.0, 3.0)).collect()
+    for source in "ab":
+        own = [r for r in got if r["source"] == source]
+        whole, part = divmod(own[0]["target"] / own[0]["source_size"], 1)
+        rest, squares = part * own[0]["source_size"], sum(r["size"] ** 2 for r in own)
+        odds = lambda p: p / (1 - p)
+        rank = {r["doc_id"]: odds(u[r["doc_id"]]) / odds(min(0.999, rest * r["size"] / squares)) for r in own}
+        left, taken = rest, set()
+        for r in sorted(own, key=lambda r: rank[r["doc_id"]]):
+            if r["size"] <= left:
+                left -= r["size"]
+                taken.add(r["doc_id"])
+        more = {r["doc_id"] for r in own if r["copies"] > whole}
+        assert all(r["copies"] in (whole, whole + 1) for r in own)
+        assert len(more ^ taken) <= 2 * M.EXCHANGES
+        assert abs(sum(r["size"] for r in own if r["doc_id"] in more) - rest) <= max(1.0, left)
+
+
+def test_targets_as_in_sql(spark):
+    """Sizes and sources' sizes of the query against SQL."""
+    import duckdb
+
+    from tests.llm.helpers import SF
+
+    sql = f"with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size from '{SF}/documents.parquet') select doc_id, size, cast(sum(size) over (partition by source) as bigint) from d"
+    assert sorted(duckdb.sql(sql).fetchall()) == sorted((r["doc_id"], r["size"], r["source_size"]) for r in M.op6_mixing(spark, SF).collect())

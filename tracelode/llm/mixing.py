@@ -33,11 +33,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, table
+from .common import cut, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
-ROWS_A_BIN = 200  # about
+ROWS_A_BIN, BINS = 200, 1_000_000  # rows of a bin, about, while a source has no more bins than that
 FILL = 3
 EXCHANGES = 8
 
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     odds = lambda p: p / (1 - p)
     rank = odds(u) / odds(chance(F.col("size")))
     rows = rows.withColumn("rank", F.when((F.col("size") > 0) & (F.col("rest") > 0), rank))
-    bins = F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_A_BIN)).cast("double")
+    bins = F.greatest(F.lit(1), F.least(F.lit(BINS), F.ceil(F.col("n") / ROWS_A_BIN))).cast("double")
     level = F.col("rank") * odds(chance(F.exp("log_size")))
     rows = rows.withColumn("bin", F.floor(level / (1 + level) * bins).cast("int"))
     rows = cut(rows.select("doc_id", "node", "size", "source", "source_size", "target", "whole", "row", "nth", "rank", "bin"), "ranked")
@@ -165,21 +165,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    of, take, times = free_name(docs, "of"), free_name(docs, "take"), free_name(docs, "times")
-    plan = mix(docs, weights).groupBy("doc_id", "node", "source").agg(F.max("copies").alias("most"), F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("n"))
-    plan = cut(plan.select(F.col("doc_id").alias(times + "_id"), F.col("node").alias(times + "_node"), F.col("source").alias(times + "_source"), "least", "all", "n"), "copies")
-    whole = docs.withColumn(of, F.xxhash64(F.coalesce("text", F.lit(""))))
-    on = whole["doc_id"].eqNullSafe(plan[times + "_id"]) & (whole[of] == plan[times + "_node"]) & whole["source"].eqNullSafe(plan[times + "_source"])
+    plan = mix(docs, weights).groupBy("doc_id", "node", "source").agg(F.max("copies").alias("most"), F.min("copies").alias("least"), F.sum("copies").alias("total"), F.count(F.lit(1)).alias("n"))
+    plan = cut(plan.select(F.col("doc_id").alias("plan_id"), F.col("node").alias("plan_node"), F.col("source").alias("plan_source"), "least", "total", "n"), "copies")
+    # the row is one value, so no name of its columns meets one of these
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.col("source").alias("of"))
+    rows = rows.join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("node") == F.col("plan_node")) & F.col("of").eqNullSafe(F.col("plan_source")))
     # rows that repeat share their copies; what doesn't divide goes to one of them
-    repeated = not plan.filter("n > 1 and all <> n * least").isEmpty()
-    joined = whole.join(plan, on)
-    if repeated:
-        nth = F.row_number().over(Window.partitionBy(times + "_id", of, times + "_source").orderBy(F.lit(0)))
-        count = F.when((F.col("n") > 1) & (F.col("all") != F.col("n") * F.col("least")), F.floor(F.col("all") / F.col("n")) + (nth <= F.col("all") % F.col("n")).cast("int")).otherwise(F.col("least"))
-    else:
-        count = F.col("least")
-    joined = joined.withColumn(take, count.cast("int")).filter(F.col(take) > 0)
-    return joined.withColumn(take, F.explode(F.array_repeat(F.lit(0), F.col(take)))).select(*docs.columns)
+    uneven = (F.col("n") > 1) & (F.col("total") != F.col("n") * F.col("least"))
+    count = F.col("least")
+    if not plan.filter(uneven).isEmpty():
+        nth = F.row_number().over(Window.partitionBy("id", "node", "of").orderBy(F.xxhash64("row")))
+        count = F.when(uneven, F.floor(F.col("total") / F.col("n")) + (nth <= F.col("total") % F.col("n")).cast("int")).otherwise(count)
+    rows = rows.select("row", count.cast("int").alias("times")).filter("times > 0")
+    return rows.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
