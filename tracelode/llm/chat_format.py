@@ -1,7 +1,8 @@
 """Chat formatting of typed content parts, in DataFrame functions only.
 
 A message is an array of parts (type, text, ref, width, height, seconds, pages). A visitor flattens
-the parts of a message in order: text is escaped and stays, an attachment becomes a placeholder
+the parts of a message in order: text is escaped and stays (parts of text side by side are one text, so that no control string is
+made of their ends), an attachment becomes a placeholder
 ``<|image:N|>``, ``<|audio:N|>`` or ``<|document:N|>`` numbered through the conversation, and its
 reference, place and count of expanded tokens are recorded. The template is
 
@@ -65,7 +66,7 @@ def _tokens(part: Column) -> Column:
         F.when(part["type"] == "image", F.greatest(tiles, F.lit(1)) * TILE_TOKENS)
         .when(part["type"] == "audio", F.ceil(zero(part["seconds"]) * SECOND_TOKENS))
         .when(part["type"] == "document", zero(part["pages"]) * PAGE_TOKENS)
-        .otherwise(F.size(F.regexp_extract_all(F.coalesce(part["text"], F.lit("")), F.lit(r"\S+"), F.lit(0))))
+        .otherwise(F.size(F.regexp_extract_all(F.coalesce(part["text"], F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))))
         .cast("long")
     )
 
@@ -74,21 +75,27 @@ def _visit(parts: Column, first: Column) -> Column:
     """(content, attachments, tokens) of a message; ``first``: number of its first attachment."""
     begin = F.struct(
         F.array().cast("array<string>").alias("out"),
+        F.array().cast("array<string>").alias("run"),
         F.array().cast("array<struct<number:int,type:string,ref:string,tokens:bigint>>").alias("refs"),
         F.lit(0).cast("long").alias("tokens"),
     )
+    told = lambda acc: F.concat(acc["out"], F.array(escape(F.array_join(acc["run"], ""))))
+    none = F.array().cast("array<string>")
 
     def step(acc: Column, part: Column) -> Column:
         is_text = F.coalesce(part["type"], F.lit("text")) == "text"
         number = first + F.size(acc["refs"])
         place = F.concat(F.lit("<|"), escape(F.coalesce(part["type"], F.lit(""))), F.lit(":"), number.cast("string"), F.lit("|>"))
-        piece = F.when(is_text, escape(F.coalesce(part["text"], F.lit("")))).otherwise(place)
         tokens = _tokens(part)
         ref = F.array(F.struct(number.alias("number"), part["type"].alias("type"), part["ref"].alias("ref"), tokens.alias("tokens")))
-        refs = F.when(is_text, acc["refs"]).otherwise(F.concat(acc["refs"], ref))
-        return F.struct(F.concat(acc["out"], F.array(piece)).alias("out"), refs.alias("refs"), (acc["tokens"] + tokens).alias("tokens"))
+        return F.struct(
+            F.when(is_text, acc["out"]).otherwise(F.concat(told(acc), F.array(place))).alias("out"),
+            F.when(is_text, F.concat(acc["run"], F.array(F.coalesce(part["text"], F.lit(""))))).otherwise(none).alias("run"),
+            F.when(is_text, acc["refs"]).otherwise(F.concat(acc["refs"], ref)).alias("refs"),
+            (acc["tokens"] + tokens).alias("tokens"),
+        )
 
-    return F.aggregate(parts, begin, step, lambda acc: F.struct(F.array_join(acc["out"], "").alias("content"), acc["refs"].alias("refs"), acc["tokens"].alias("tokens")))
+    return F.aggregate(parts, begin, step, lambda acc: F.struct(F.array_join(told(acc), "").alias("content"), acc["refs"].alias("refs"), acc["tokens"].alias("tokens")))
 
 
 def format_messages(messages: DataFrame, masked: tuple[str, ...] = (ASSISTANT,)) -> DataFrame:
@@ -123,7 +130,7 @@ def format_messages(messages: DataFrame, masked: tuple[str, ...] = (ASSISTANT,))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (array of (role, text)) and loss_text, from ``formatted`` and ``loss`` alone."""
+    """``formatted``'s columns with turns (array of (role, text)) and loss_text, from ``formatted`` and ``loss`` alone."""
     pieces = F.filter(F.split("formatted", f"(?=\\Q{TURN}\\E)", -1), lambda p: p != "")
 
     def turn(p: Column) -> Column:
@@ -133,14 +140,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     out = formatted.withColumn("pieces", pieces)
     cut = F.transform("loss", lambda s: unescape(F.substring(F.get(F.col("pieces"), s["piece"]), s["start"] + 1, s["end"] - s["start"])))
-    return out.select("conv_id", "formatted", F.transform("pieces", turn).alias("turns"), F.array_join(cut, "").alias("loss_text"))
+    return out.select(*formatted.columns, F.transform("pieces", turn).alias("turns"), F.array_join(cut, "").alias("loss_text"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """One row per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens, n_attachments."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], own.schema)
+    extra = spark.range(2).select(
+        F.lit(-7).cast(own.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(own.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit(ASSISTANT)).alias("role"), F.lit(probe).alias("text"),
+    )
     back = read_back(format_messages(own.union(extra).select("conv_id", "turn", "role", text_message(F.col("text")).alias("parts"))))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
@@ -150,6 +160,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "n_tokens",
+        F.size("attachments").cast("long").alias("n_attachments"),
     )
 
 
@@ -161,13 +173,14 @@ with rows_ as (
   union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), escaped as (
   select *, length(regexp_replace(regexp_replace(replace(text, '\\', '\\\\'), '(<)(\\||s>|/s>|<SYS>>|</SYS>>|start_of_turn>|end_of_turn>)', '\\1\\\\\\2', 'g'), '(\\||\\[)(>|INST\\]|/INST\\])', '\\1\\\\\\2', 'g')) as n,
-    length(replace(role, '\\', '\\\\')) as r
+    length(replace(role, '\\', '\\\\')) as r,
+    len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) as w
   from rows_
 )
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   cast(coalesce(sum(case when role = 'assistant' then length(text) end), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
-  cast(sum(n + r + 8 + 1 + 7) as bigint) as formatted_chars
+  cast(sum(n + r + 8 + 1 + 7) as bigint) as formatted_chars, cast(sum(w) as bigint) as n_tokens, cast(0 as bigint) as n_attachments
 from escaped group by conv_id
 """
