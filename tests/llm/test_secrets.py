@@ -75,6 +75,53 @@ def test_battery_is_calibrated(spark):
     assert small < 0.09 * 2000
 
 
+WORDS = "get set index user account module parser stream handle config value buffer render widget session query table node path name list map count total service manager factory builder".split()
+
+
+def _natural(rng):
+    """Identifiers and paths as programmers write them."""
+    words = rng.choices(WORDS, k=rng.randint(4, 8))
+    kind = rng.randrange(4)
+    if kind == 0:
+        return "".join(w.title() for w in words) + str(rng.randint(1, 99))
+    if kind == 1:
+        return "/".join(words) + f"/V{rng.randint(1, 9)}"
+    if kind == 2:
+        return "_".join(words) + str(rng.randint(10, 2030))
+    return words[0] + "".join(w.title() for w in words[1:]) + f"{rng.randint(0, 9)}x{rng.randint(0, 9)}"
+
+
+def test_false_discoveries_are_controlled(spark):
+    """Planted random tokens of each encoding among natural ones: precision and recall of what is reported."""
+    rng = random.Random(11)
+    alphabets = {"base64": S._ALPHABETS["base64"][:62], "base36": S._ALPHABETS["base36"], "base32": S._ALPHABETS["base32"]}
+    planted = ["".join(rng.choices(a, k=rng.choice((24, 32, 40, 64)))) for a in alphabets.values() for _ in range(150)]
+    planted = [t for t in planted if any(re.search(p, t) for p in S._FITS.values())]
+    natural = [t for t in (_natural(rng) for _ in range(3_000)) if len(t) >= 20]
+    rows = [(i, f"a word {t} and more") for i, t in enumerate(planted + natural)]
+    found = {r["doc_id"] for r in S.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["spans"]}
+    hits, false = len([i for i in found if i < len(planted)]), len([i for i in found if i >= len(planted)])
+    assert hits >= 0.9 * len(planted) and false <= 2 * S.RATE * (hits + false), (hits, len(planted), false)
+
+
+def test_natural_tokens_alone_are_hardly_reported(spark):
+    rng = random.Random(12)
+    rows = [(i, f"a word {_natural(rng)} and more") for i in range(3_000)]
+    found = S.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).filter("size(spans) > 0").count()
+    assert found <= 30
+
+
+def test_thresholds_by_plain_counting(spark):
+    rng = random.Random(3)
+    bins = [("a", int(-abs(rng.gauss(0, 300)))) for _ in range(400)] + [("a", -rng.randint(0, 60)) for _ in range(100)] + [("b", -2500)] * 50 + [("c", 0)]
+    got = S.thresholds(spark.createDataFrame(bins, "family string, bin int"))
+    for family in "abc":
+        own = [b for f, b in bins if f == family]
+        random_ = sum(b >= S.EVEN for b in own) / (1 - 10 ** (S.EVEN / 100))
+        fine = [b for b in own if sum(x >= b for x in own) - random_ * (1 - 10 ** (b / 100)) <= S.RATE * sum(x >= b for x in own)]
+        assert got[family] == min([S.EVEN, *fine]) - 1
+
+
 def test_masking(spark):
     docs = spark.createDataFrame([(1, "my password: hunter22 ok", 24), (2, "nothing here", 12), (3, "x=" + "ab12" * 8 + " token=abcdef token=ghijkl", 0), (4, None, None)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in S.mask_secrets(docs).collect()}

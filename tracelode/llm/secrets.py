@@ -14,13 +14,14 @@ characters' places in that alphabet are tested against uniform independent draws
 * runs above and below the alphabet's middle, two-sided,
 * serial correlation at lag one, two-sided.
 
-The p-value of a token is the least of the four times four. Tokens of one encoding and one class
-of length (powers of two) are a family: the Benjamini-Hochberg rule at ``RATE`` over all tokens of
-the corpus finds those that are not random, and what it doesn't reject is reported. As long tokens
-have far more power than short ones, each class of length has its own threshold. P-values are
-counted in bins of a hundredth of a decade, so the rule needs only a small table of counts.
-
-Defined results: a null or empty text has no spans; repeated rows are repeated; other columns are
+The p-value of a token is the chance that the least of four such values is as small. Random tokens have even p-values; others
+have small ones. Tokens of one encoding and one class of length (powers of two) are a family, as long tokens
+have far more power than short ones, and each family has its own threshold, by which false discoveries among the *reported* tokens are
+controlled: ``EVEN`` and more has only random tokens, so their number there tells how many random ones there are in all; what a
+family has above a threshold beyond their share of that is false. The threshold is the least for which this is at most ``RATE`` of
+what is reported. P-values are counted in bins of a hundredth of a decade, so the rule needs only a small table of counts.
+
+Defined results: a null or empty text has no spans; repeated rows are repeated; tokens of equal p-values are reported alike; other columns are
 ignored; offsets are code points, ends exclusive. An empty table gives an empty result.
 """
 
@@ -37,7 +38,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
-RATE = 0.05  # of false rejections among the tokens that are called not random
+RATE = 0.05  # of tokens that aren't random among those that are reported, about
+EVEN = -30  # bin (p of about one half) from which on tokens are taken to be random
 MASK = "<SECRET>"
 _CELLS = 8
 _BIN = 100  # bins to a decade of p
@@ -132,7 +134,8 @@ def _battery(token: Column, alphabet: str) -> Column:
         square = total(F.transform(v, lambda x: (x - mid) * (x - mid)))
         lag = total(F.transform(pairs, lambda p: (p["a"] - mid) * (p["b"] - mid)))
         p_serial = F.when(square > 0, 2 * _tail(F.abs(lag / F.greatest(square, F.lit(1e-9))) * F.sqrt(n))).otherwise(0.0)
-        return F.least(F.lit(1.0), 4 * F.least(p_chi, p_kinds, p_runs, p_serial))
+        low = F.least(F.lit(1.0), F.greatest(F.lit(1e-30), F.least(p_chi, p_kinds, p_runs, p_serial)))
+        return F.when(low < 1e-9, 4 * low).otherwise(1 - F.pow(1 - low, F.lit(4.0)))
 
     return F.element_at(F.transform(F.array(at), tests), 1)  # the places are worked out once
 
@@ -151,25 +154,26 @@ def candidates(text: Column) -> Column:
 
 
 def thresholds(tokens: DataFrame, rate: float = RATE) -> dict[str, int]:
-    """The largest bin of p that the Benjamini-Hochberg rule rejects, by family. ``tokens``: family and bin of
+    """For each family the bin of p above which its tokens are reported. ``tokens``: family and bin of
     each token. There are four encodings and 32 classes of length at most, so it is a small table."""
     from pyspark.sql import Window
 
     by = Window.partitionBy("family")
     counts = tokens.groupBy("family", "bin").agg(F.count(F.lit(1)).alias("n"))
-    up = F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    top = F.pow(F.lit(10.0), (F.col("bin") + 1) / _BIN)
-    counts = counts.withColumn("up", up).withColumn("all", F.sum("n").over(by))
-    rejected = counts.filter(top <= rate * F.col("up") / F.col("all"))
-    return {r["family"]: r["bin"] for r in rejected.groupBy("family").agg(F.max("bin").alias("bin")).collect()}
+    above = F.sum("n").over(by.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))
+    random = F.coalesce(F.sum(F.when(F.col("bin") >= EVEN, F.col("n"))).over(by), F.lit(0)) / (1 - 10 ** (EVEN / _BIN))
+    counts = counts.withColumn("above", above).withColumn("random", random)
+    false = F.col("above") - F.col("random") * (1 - F.pow(F.lit(10.0), F.col("bin") / _BIN))
+    allowed = F.min(F.when(false <= rate * F.col("above"), F.col("bin")))
+    return {r["family"]: min(EVEN, EVEN if r["bin"] is None else r["bin"]) - 1 for r in counts.groupBy("family").agg(allowed.alias("bin")).collect()}
 
 
 def random_spans(tokens: Column, limits: dict[str, int], base: Column) -> Column:
-    """Spans of the tokens that are not rejected and don't lie in a base span."""
-    least = F.lit(-10_000)
-    if limits:
-        names = F.create_map(*[F.lit(v) for pair in sorted(limits.items()) for v in pair])
-    kept = F.filter(tokens, lambda x: x["bin"] > (F.coalesce(F.element_at(names, x["family"]), least) if limits else least))
+    """Spans of the tokens above their family's limit that don't lie in a base span."""
+    if not limits:
+        return _spans(F.filter(tokens, lambda x: F.lit(False)), "random")
+    names = F.create_map(*[F.lit(v) for pair in sorted(limits.items()) for v in pair])  # 128 families at most
+    kept = F.filter(tokens, lambda x: x["bin"] > F.element_at(names, x["family"]))
     kept = F.filter(kept, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
     return _spans(kept, "random")
 
@@ -190,7 +194,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every span, base or random, of ``text`` replaced by ``MASK`` and ``n_chars`` recounted;
     all rows stay. Spans that overlap are one."""
-    scanned = scan(docs)
+    scanned = cut(scan(docs), "scanned")  # texts are scanned once
     name = scanned.columns[-1]
     families = scanned.select(F.explode(f"{name}.tokens").alias("t")).select("t.family", "t.bin")
     limits = thresholds(families)
