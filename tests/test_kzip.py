@@ -95,3 +95,137 @@ def test_cache(spark, tmp_path):
     assert rows(build(spark, cache, plan(u1="a", u2="c"), ingest)) == whole and asked[-1] == ["u2"]
     assert sorted(r["digest"] for r in cache.digests().collect()) == ["a", "c"]
     assert rows(build(spark, cache, plan(u1="a"), ingest)) == rows(graph(streams["u1"].frame(spark))) and len(asked) == 2
+
+
+def test_peek_tells_what_decoding_tells(archive):
+    a = unit("src/a.cc", ["-c"])
+    bare = a | {"source_file": []}
+    info = bare | {"required_input": [{"v_name": a["v_name"], "info": {"path": "i.cc", "digest": "d"}}]}
+    named_ = bare | {"required_input": [], "v_name": a["v_name"] | {"path": "v.cc"}}
+    for u in (a, bare, info, named_, bare | {"required_input": []}):
+        assert (kzip.peek(kzip.encode_unit(u), True) or None) == kzip.primary_path(u)
+    assert kzip.peek(b"", True) is None and kzip.peek(b"{}", False) is None
+
+
+def test_rejected_units_are_not_decoded(spark, archive, tmp_path, monkeypatch):
+    """A unit whose rest can't be decoded is no error where its path is rejected."""
+    path = str(tmp_path / "bad.kzip")
+    good = kzip.encode_unit(unit("src/a.cc", ["-c"]))
+    broken = kzip.field(1, kzip.field(6, "other/b.cc") + b"\x2a\xff")  # ends early, behind its path
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("root/pbunits/s1", good)
+        z.writestr("root/pbunits/s2", broken)
+    assert [r["sha"] for r in kzip.read_units(spark, path, accept=lambda p: p.startswith("src/")).collect()] == ["s1"]
+
+
+def test_archive_of_one_unit(spark, archive, tmp_path):
+    out = str(tmp_path / "one.kzip")
+    u = unit("src/a.cc", ["new"])
+    assert kzip.sub_archive(archive, "s1", u, out) == 1
+    (row,) = kzip.read_units(spark, out).collect()
+    assert row["sha"] == "s1" and row["unit"]["argument"] == ["new"]
+    with zipfile.ZipFile(out) as z:
+        assert z.read("root/files/d1") == b"int a;"
+
+
+def test_archives_by_address(spark, archive):
+    assert kzip.read_units(spark, f"file://{archive}").count() == 2
+
+
+@pytest.fixture
+def programs(tmp_path):
+    """An indexer that counts its starts, notes the arguments of its unit and says one node; one that fails; none for java."""
+    from tracelode.plans.sample import named, stream
+
+    s = stream()
+    from tracelode.sources.entries import encode
+
+    data = b"".join(encode(r[1], r[2], r[3], r[4], r[5]) for r in s.rows)
+    (tmp_path / "entries").write_bytes(data)
+    (tmp_path / "run.py").write_text(f"""
+import sys, zipfile
+sys.path.insert(0, {str(__file__).rsplit("/tests/", 1)[0]!r})
+from tracelode.sources.kzip import decode_unit
+with zipfile.ZipFile(sys.argv[2]) as z:
+    (name,) = [n for n in z.namelist() if "pbunits/" in n and not n.endswith("/")]
+    unit = decode_unit(z.read(name))
+open({str(tmp_path)!r} + "/log", "a").write(sys.argv[1] + " " + " ".join(unit["argument"]) + "\\n")
+if "fail" in unit["argument"]:
+    sys.stderr.write("it broke")
+    sys.exit(3)
+if "empty" not in unit["argument"]:
+    sys.stdout.buffer.write(open({str(tmp_path)!r} + "/entries", "rb").read())
+""")
+    return tmp_path
+
+
+def many(tmp_path, kinds):
+    path = str(tmp_path / "many.kzip")
+    with zipfile.ZipFile(path, "w") as z:
+        for i, kind in enumerate(kinds):
+            u = unit(f"src/{i}.cc", [kind, "-fprofile-use=x"])
+            u["v_name"] = u["v_name"] | {"language": "java" if kind == "java" else "c++"}
+            z.writestr(f"root/pbunits/s{i}", kzip.encode_unit(u))
+    return path
+
+
+def test_each_indexer_is_started_once_and_failures_are_units(spark, programs, capfd):
+    from tracelode import service
+
+    path = many(programs, ["ok", "ok", "fail", "empty", "java"])
+    index = str(programs / "g.index")
+    run = ["--index", index, "from-kzip", path, "--indexer", f"cxx=python {programs}/run.py {{sha}} {{unit}}", "--indexer", "java=/no/such/program {unit}", "--inject-cu-arg", "src/::-DX", "--snapshot-every", "2"]
+    assert service.main(run) == 0
+    log = sorted((programs / "log").read_text().split("\n"))
+    assert log == ["", "s0 -DX ok", "s1 -DX ok", "s2 -DX fail", "s3 -DX empty"]
+    notes = capfd.readouterr().err
+    assert "cxx: units=4 ok=2 empty=1 failed=1" in notes and "sha=s2 exit=3" in notes and "it broke" in notes
+    assert "java: units=1 ok=0 empty=0 failed=1" in notes and "sha=s4 spawn:" in notes
+    assert service.main(["--index", index, "--json", "stat"]) == 0
+    from tracelode.operators.ingest import graph
+    from tracelode.plans.sample import stream
+
+    assert json.loads(capfd.readouterr().out.strip().split("\n")[-1])["syms"] == graph(stream().frame(spark)).syms.count()
+
+
+def test_resume_goes_on(spark, programs, capfd):
+    """What a run has stored is not asked for again with --resume; without it a run begins anew."""
+    from tracelode import service
+    from tracelode.sources.cache import UnitCache, build
+
+    path = many(programs, ["ok", "ok", "ok"])
+    index = str(programs / "g.index")
+    plan = kzip.read_units(spark, path).withColumns({"cu_id": F.col("sha"), "digest": F.col("sha")})
+    command = lambda u, sha, at: ["python", f"{programs}/run.py", sha, at]
+    ended = []
+
+    def ingest(missing):
+        if ended:
+            raise RuntimeError("killed")
+        ended.append(1)
+        return kzip.indexed(missing, command, path)[0]
+
+    with pytest.raises(RuntimeError):
+        build(spark, UnitCache(spark, f"{index}.partial"), plan, ingest, every=2)
+    assert sorted((programs / "log").read_text().split()[::3]) == ["s0", "s1"]
+    run = ["--index", index, "from-kzip", path, "--indexer", f"cxx=python {programs}/run.py {{sha}} {{unit}}", "--resume"]
+    assert service.main(run) == 0
+    assert [line.split()[0] for line in (programs / "log").read_text().strip().split("\n")][2:] == ["s2"]
+    assert service.main(run[:-1]) == 0
+    assert len((programs / "log").read_text().strip().split("\n")) == 6
+
+
+def test_batches_by_rows(spark, tmp_path):
+    from tracelode.plans.sample import stream
+    from tracelode.sources.cache import UnitCache, build
+
+    plan = spark.createDataFrame([(f"u{i}", f"d{i}") for i in range(7)], "cu_id string, digest string")
+    rows, sizes = stream().rows, []
+
+    def ingest(missing):
+        ids = [r["cu_id"] for r in missing.collect()]
+        sizes.append(len(ids))
+        return spark.createDataFrame([(i, *r[1:]) for i in ids for r in rows], stream().frame(spark).schema)
+
+    build(spark, UnitCache(spark, str(tmp_path / "c")), plan, ingest, every=3, rows=2 * len(rows))
+    assert sizes == [3, 2, 2]

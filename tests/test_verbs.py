@@ -142,3 +142,71 @@ def test_socket(g, tmp_path):
     assert ready.wait(10)
     assert client_call(path, {"cmd": "stat"})["xrefs"] == 11
     assert client_call(path, {"cmd": "nope"})["kind"] == "error"
+
+
+def test_stored_index_answers_alike(spark, g, tmp_path, monkeypatch):
+    """With its trigrams and its tables by other ends, and whether values go into the plan or not."""
+    from tracelode.sources import index
+
+    path = str(tmp_path / "g.index")
+    index.write(g, path)
+    stored = index.read(spark, path)
+    asked = [
+        lambda g: verbs.define(g, "foo", substr=True),
+        lambda g: verbs.define(g, "PARENT", substr=True, ignore_case=True),
+        lambda g: verbs.refs(g, "Paren", substr=True),
+        lambda g: verbs.refs(g, "zzz", substr=True),
+        lambda g: verbs.refs(g, "r", substr=True),
+        lambda g: verbs.subs(g, "foo.Parent"),
+        lambda g: verbs.members(g, "foo.Parent"),
+        lambda g: walk.callgraph(g, "helper", substr=True, direction="both"),
+        lambda g: walk.inheritance(g, "foo.Parent", direction="both"),
+        lambda g: verbs.neighbours(g, g.syms, "called_by"),
+    ]
+    want = [sorted(map(str, q(g).collect())) for q in asked]
+    assert [sorted(map(str, q(stored).collect())) for q in asked] == want
+    assert stored.by("calls", "callee") is not stored.calls and g.by("calls", "callee") is g.calls
+    assert stored.likely("zzz").count() == 0 and stored.likely("ab") is None
+    found = stored.likely("Parent.help")
+    assert found is None or "foo.Parent.helper" in {r["name"] for r in found.collect()}
+    for module in (verbs, walk, resolve):
+        monkeypatch.setattr(module, "PINNED", 0)
+    assert [sorted(map(str, q(stored).collect())) for q in asked] == want
+
+
+def test_index_is_replaced_in_one_step(spark, g, tmp_path):
+    import os
+
+    from tracelode.sources import index
+
+    path = str(tmp_path / "g.index")
+    index.write(g, path, trigrams=False)
+    before = index.read(spark, path)
+    small = type(g)(**(g.tables() | {"calls": g.calls.limit(0)}))
+    index.write(small, path)
+    assert index.read(spark, path).calls.count() == 0 and before.calls.count() == 2  # the one before still can be read
+    index.write(small, path)
+    assert len([n for n in os.listdir(path) if n.startswith("state-")]) == 2
+    with pytest.raises(FileNotFoundError):
+        index.read(spark, str(tmp_path / "none"))
+
+
+def test_replies_for_people(g):
+    from tracelode.service import shown
+
+    out, notes = shown(dispatch(g, {"cmd": "def", "name": "foo.Parent.helper"}))
+    assert out[0] == "# foo.Parent.helper  [fn/java]" and out[1] == "  sig: void helper(int flags)" and out[2].startswith("  decl /aosp/") and notes == ["hits=1"]
+    assert shown(dispatch(g, {"cmd": "stat"}))[0][0] == "xrefs:  11"
+    out, notes = shown(dispatch(g, {"cmd": "callgraph", "name": "foo.Parent.helper", "direction": "up"}))
+    assert out[0].startswith("  id=0   parent=-   hop=0 root fn        foo.Parent.helper  ") and notes[-1].startswith("hits=")
+    out, notes = shown(dispatch(g, {"cmd": "ref", "name": "foo.Parent", "max_hits": 1}))
+    assert notes == ["(showing 1; --limit cap reached, more exist — raise --limit)", "hits=1"]
+    assert shown(dispatch(g, {"cmd": "nope", "name": "x"}))[1][0].startswith("error: ")
+    assert shown(dispatch(g, {"cmd": "members", "name": "foo.Parent"}))[1] == ["members=2"]
+
+
+def test_home_in_paths(monkeypatch):
+    from tracelode.service import expanded
+
+    monkeypatch.setenv("HOME", "/h")
+    assert (expanded("~"), expanded("~/x"), expanded("a~/x"), expanded("~y")) == ("/h", "/h/x", "a~/x", "~y")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, name_rank
 from ..schema import FIELD, UNKNOWN, VARIABLE, Graph
+from ..sources.tables import cut
 
 #: Of two kinds that differ, the first of these is taken; the same holds for languages by number.
 KIND_ORDER = (FIELD, 2, 1, 5, VARIABLE, UNKNOWN)
@@ -69,23 +70,19 @@ def reverse(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(b, a, *[c for c in edges.columns if c not in (a, b)]).distinct()
 
 
-def aliases_of(g: Graph) -> DataFrame:
-    """sym, alias: the names that aren't a symbol's own."""
-    return g.names.join(g.syms.select("sym", "name"), ["sym", "name"], "left_anti").select("sym", F.col("name").alias("alias"))
-
-
 def merge(graphs: list[Graph], local_files: bool = False) -> Graph:
     """One graph of many. ``local_files``: file ids are each graph's own, and become ranks of the paths of all."""
     if local_files:
         graphs = _renumbered(graphs)
     both = lambda parts: reduce(DataFrame.unionByName, parts)
     tables = {t: both([g.tables()[t] for g in graphs]) for t in graphs[0].tables() if t != "names"}
-    return assemble(aliases=both([aliases_of(g) for g in graphs]), **tables)
+    # a graph's aliases are its name rows that aren't a symbol's own there: one join for all graphs
+    numbered = lambda t: both([g.tables()[t].select("sym", "name", F.lit(i).alias("of")) for i, g in enumerate(graphs)])
+    aliases = numbered("names").join(numbered("syms"), ["of", "sym", "name"], "left_anti").select("sym", F.col("name").alias("alias"))
+    return assemble(aliases=aliases, **tables)
 
 
 def _renumbered(graphs: list[Graph]) -> list[Graph]:
-    from dataclasses import replace
-
     every = reduce(DataFrame.union, [g.files.select("path") for g in graphs])
     ids = file_ids(every)
     out = []
@@ -93,7 +90,7 @@ def _renumbered(graphs: list[Graph]) -> list[Graph]:
         to = g.files.join(ids.withColumnRenamed("file", "new"), "path")
         files = to.select(F.col("new").alias("file"), "path")
         xrefs = g.xrefs.join(to.select("file", "new"), "file").select("sym", "role", F.col("new").alias("file"), "off")
-        out.append(replace(g, files=files, xrefs=xrefs))
+        out.append(Graph(**(g.tables() | {"files": files, "xrefs": xrefs})))
     return out
 
 
@@ -106,22 +103,19 @@ def file_ids(paths: DataFrame, local_to: str | None = None) -> DataFrame:
     return ranked(paths.select("path").distinct(), ["path"]).select("path", F.col("rank").alias("file"))
 
 
-def ranked(rows: DataFrame, order: list, parts: int = 64) -> DataFrame:
-    """``rows`` with ``rank``, the place in an order without ties, from 0. Bounds from a sample of the first
-    sort key deal the rows out in ranges; each range is numbered on its own and what the ranges before hold is
-    added, so no task sees all rows."""
-    key = F.col(order[0]) if isinstance(order[0], str) else order[0]
-    total = rows.count()
-    share = min(1.0, 200.0 * parts / max(1, total))
-    sample = sorted(r[0] for r in rows.select(key).sample(share, seed=1).collect())  # 200 keys a part, expected
-    bounds = sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
-    part = F.size(F.filter(F.array([F.lit(b) for b in bounds]), lambda b: b <= key)) if bounds else F.lit(0)
-    spread = rows.withColumn("part", part)
-    counts = spread.groupBy("part").count()
-    before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
-    own = Window.partitionBy("part").orderBy(*order)
-    numbered = spread.withColumn("nth", F.row_number().over(own) - 1)
-    return numbered.join(F.broadcast(before), "part").withColumn("rank", (F.col("nth") + F.col("before")).cast("long")).drop("part", "nth", "before")
+def ranked(rows: DataFrame, order: list) -> DataFrame:
+    """``rows`` with ``rank``, the place in an order without ties, from 0. Rows are dealt out in ranges of the whole
+    order, as many as the session has shuffle partitions or fewer, sorted and numbered there, and written; what the ranges before
+    hold, a number a range, is added. So no task sees all rows, and a value that many rows have is in many ranges."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    spread = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id()  # range and place in it
+    held = cut(spread.withColumn("at", place), "ranked")
+    part = F.shiftright("at", 33)
+    counts = held.groupBy(part.alias("part")).count()
+    before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))  # a row a range
+    out = held.withColumns({"part": part, "nth": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
+    return out.join(F.broadcast(before), "part").withColumn("rank", (F.col("nth") + F.col("before")).cast("long")).drop("part", "nth", "before", "at")
 
 
 def continued_ids(paths: DataFrame, known: DataFrame) -> DataFrame:

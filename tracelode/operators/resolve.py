@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fold, sym_hex, sym_order
+from ..schema import Graph
 from .build import ranked
 
+#: Values up to this many go into the plan, so that scans prune row groups by them.
+PINNED = 512
+
 
 def exact(names: DataFrame, name: str) -> DataFrame:
     """sym, seq: all symbols of a name, in order of their unsigned ids."""
@@ -45,8 +49,9 @@ def substring(names: DataFrame, needle: str, limit: int, ignore_case: bool = Fal
     return top.select("sym", F.row_number().over(Window.orderBy("name", sym_order(F.col("sym")))).alias("seq"))
 
 
-def lookup(names: DataFrame, name: str, substr: bool, limit: int, ignore_case: bool = False) -> DataFrame:
-    return substring(names, name, limit, ignore_case) if substr else exact(names, name)
+def lookup(g: Graph, name: str, substr: bool, limit: int, ignore_case: bool = False) -> DataFrame:
+    """sym, seq of a name, or of a part of names; trigrams narrow the latter down if the graph has them."""
+    return substring(g.names, name, limit, ignore_case, g.likely(name)) if substr else exact(g.names, name)
 
 
 def trigrams(text: Column) -> Column:
@@ -72,16 +77,43 @@ def trigram_dictionary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("tri").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def windows(needle: str) -> list[str]:
+    """The distinct trigrams of a needle, in order; none if it has less than three bytes."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in needle.encode())
+    return sorted({data[i : i + 3].hex().upper() for i in range(len(data) - 2)})
+
+
 def candidates(rows: DataFrame, postings: DataFrame, needle: str) -> DataFrame:
     """Name rows that have every trigram of the needle: intersection by counting. Needles under three bytes have
     none, and all rows are candidates."""
-    data = needle.encode()
-    data = bytes(b + 32 if 65 <= b <= 90 else b for b in data)
-    wanted = sorted({data[i : i + 3].hex().upper() for i in range(len(data) - 2)})
+    wanted = windows(needle)
     if not wanted:
         return rows
-    ids = postings.filter(F.col("tri").isin(wanted)).groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(wanted))
-    return rows.join(ids.select("row_id"), "row_id")
+    return rows.join(_with_all(postings, wanted), "row_id")
+
+
+def _with_all(postings: DataFrame, wanted: list[str]) -> DataFrame:
+    """row_id of the rows that have all of the trigrams."""
+    return postings.filter(F.col("tri").isin(wanted)).groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(wanted)).select("row_id")
+
+
+def likely(rows: DataFrame, postings: DataFrame, dictionary: DataFrame, needle: str, names: int) -> DataFrame | None:
+    """Name rows among which are all that hold the needle: those with its rarest trigrams. The dictionary tells their
+    numbers, so that a trigram that no name has ends the search, few rows are read by their ids, and a needle whose trigrams are all
+    frequent among ``names`` rows is left to a scan (None)."""
+    wanted = windows(needle)
+    if not wanted:
+        return None
+    known = {r["tri"]: r["cnt"] for r in dictionary.filter(F.col("tri").isin(wanted)).collect()}  # a row a trigram of the needle
+    if len(known) < len(wanted):
+        return rows.limit(0)
+    rare = sorted(wanted, key=lambda t: (known[t], t))[:3]
+    if known[rare[0]] > names / 4:
+        return None
+    if known[rare[0]] <= PINNED:
+        ids = [r["row_id"] for r in _with_all(postings, rare).collect()]  # PINNED at most
+        return rows.filter(F.col("row_id").isin(ids)) if ids else rows.limit(0)
+    return rows.join(_with_all(postings, rare), "row_id")
 
 
 def rarest(dictionary: DataFrame, needle: str) -> DataFrame:

@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import display_name, is_ticket, kind_label, lang_label, logical_key, passes, place, role_label, sym_order
 from ..schema import CALL, CONTAINERS, DECL, DEF, Graph
-from .resolve import lookup
+from .resolve import PINNED, lookup
 
 LIMIT, MAX_HITS, LEAST_SYMS = 16, 200, 64
 EVERY = 255
-#: Symbols up to this many go into the plan as values, so that scans prune row groups by them.
-PINNED = 512
 
 
 def stat(g: Graph) -> DataFrame:
@@ -83,7 +81,7 @@ def sites(
 ) -> DataFrame:
     """group_seq, name, kind, lang, (typed, sig,) role, file, off: places of the symbols of a name, symbol by
     symbol; symbols without a place are not shown. ``max_hits`` counts over all symbols; at least one is shown."""
-    syms, ids = pinned(lookup(g.names, name, substr, limit, ignore_case))
+    syms, ids = pinned(lookup(g, name, substr, limit, ignore_case))
     syms = _where_defined(g, syms, def_in, ids)
     low, high = roles
     rows = narrowed(g.xrefs, "sym", ids).filter(F.col("role").between(low, high)).join(syms, "sym")
@@ -128,9 +126,9 @@ def sites_many(g: Graph, needles: DataFrame, roles: tuple[int, int] = (0, EVERY)
 def related(g: Graph, name: str, sub: bool, substr: bool = False, limit: int = LIMIT, in_: str | None = None, not_in: str | None = None) -> DataFrame:
     """seq, name, def: direct supertypes (or subtypes) and overridden (or overriding) methods. Copies of one
     element are one row: its first place, and its first name that is not a ticket."""
-    syms, ids = pinned(lookup(g.names, name, substr, limit))
+    syms, ids = pinned(lookup(g, name, substr, limit))
     ends = ("parent", "child") if sub else ("child", "parent")
-    edges = narrowed(g.inh, ends[0], ids).select(F.col(ends[0]).alias("sym"), F.col(ends[1]).alias("other"))
+    edges = narrowed(g.by("inh", ends[0]), ends[0], ids).select(F.col(ends[0]).alias("sym"), F.col(ends[1]).alias("other"))
     found, ids = pinned(edges.join(syms, "sym").groupBy(F.col("other").alias("sym")).agg(F.min("seq").alias("seq")))
     wanted = passes(F.coalesce("def_path", F.lit("")), in_, not_in)
     if wanted is not None:
@@ -169,7 +167,7 @@ def _first_of(rows: DataFrame, key: list, order: list, limit: int) -> DataFrame:
 
 
 def _texts(g: Graph, table: DataFrame, column: str, name: str, substr: bool, limit: int) -> DataFrame:
-    syms, ids = pinned(lookup(g.names, name, substr, max(limit, LEAST_SYMS)))
+    syms, ids = pinned(lookup(g, name, substr, max(limit, LEAST_SYMS)))
     rows = described(g, narrowed(table, "sym", ids).join(syms, "sym"), ids=ids)
     rows = _first_of(rows, [logical_key(F.col("name")), column], ["seq"], limit)
     return labelled(rows).select("seq", "name", "kind", "lang", column)
@@ -186,7 +184,7 @@ def signatures(g: Graph, name: str, substr: bool = False, limit: int = LIMIT) ->
 
 def members(g: Graph, name: str, substr: bool = False, limit: int = LIMIT) -> DataFrame:
     """Direct members of the types and packages of a name."""
-    syms, ids = pinned(lookup(g.names, name, substr, max(limit, LEAST_SYMS)))
+    syms, ids = pinned(lookup(g, name, substr, max(limit, LEAST_SYMS)))
     holders = syms.join(narrowed(g.syms, "sym", ids).filter(F.col("kind").isin(*CONTAINERS)).select("sym"), "sym", "left_semi")
     rows = narrowed(g.childof, "parent", ids).join(holders.withColumnRenamed("sym", "parent"), "parent").groupBy(F.col("child").alias("sym")).agg(F.min("seq").alias("holder"))
     rows = described(g, rows).join(g.sig, "sym", "left").withColumn("at", sym_order(F.col("sym")))
@@ -196,6 +194,7 @@ def members(g: Graph, name: str, substr: bool = False, limit: int = LIMIT) -> Da
 
 def neighbours(g: Graph, syms: DataFrame, table: str) -> DataFrame:
     """sym, other, role of direct edges: ``calls_from``, ``called_by``, ``inherits_of``, ``inherited_by`` or ``members``."""
-    edges, a, b = {"calls_from": (g.calls, "caller", "callee"), "called_by": (g.calls, "callee", "caller"), "inherits_of": (g.inh, "child", "parent"), "inherited_by": (g.inh, "parent", "child"), "members": (g.childof, "parent", "child")}[table]
+    edges, a, b = {"calls_from": ("calls", "caller", "callee"), "called_by": ("calls", "callee", "caller"), "inherits_of": ("inh", "child", "parent"), "inherited_by": ("inh", "parent", "child"), "members": ("childof", "parent", "child")}[table]
+    edges = g.by(edges, a)
     role: Column = F.col("role") if "role" in edges.columns else F.lit(None).cast("int")
     return edges.select(F.col(a).alias("sym"), F.col(b).alias("other"), role.alias("role")).distinct().join(syms.select("sym").distinct(), "sym", "left_semi")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import display_name, kind_label, logical_key, passes, place, sym_order
 from ..schema import Graph
-from .resolve import lookup
+from ..sources.tables import cut
+from .resolve import PINNED, lookup
 from .verbs import first_paths, narrowed, pinned, places
 
 DEPTH, MAX_SYMS, ROOTS = 3, 200, 16
@@ -33,17 +34,23 @@ def _kept(g: Graph, rows: DataFrame, in_: str | None, not_in: str | None, ids: l
     return rows.join(first_paths(g, rows, ids), "sym", "left").filter(wanted).drop("def_path")
 
 
-def _copies(g: Graph, nodes: DataFrame, ids: list[int]) -> DataFrame:
-    """sym, id: every copy of the nodes (sym, id, name): symbols that share a name row with the node (its name or an
-    alias) and its logical key."""
-    nodes = F.broadcast(nodes)
-    own = narrowed(g.names, "sym", ids)
-    called = own.join(nodes, own["sym"] == nodes["sym"]).select(own["name"].alias("shared"), "id", nodes["name"].alias("name"))
-    called = called.union(nodes.select(F.col("name").alias("shared"), "id", "name")).distinct()
-    same = g.names.select(F.col("name").alias("shared"), "sym").join(F.broadcast(called), "shared").select("sym", "id", "name")
-    same = same.join(g.syms.select("sym", F.col("name").alias("own")), "sym")
+def _copies(g: Graph, nodes: list[tuple[int, int, str]]) -> tuple[DataFrame, list[int] | None]:
+    """sym, id of every copy of the nodes (sym, id, name), and their ids if they are few: symbols that share a name row with the
+    node (its name or an alias) and its logical key. Names and symbols are looked up by value while they are few."""
+    own = g.spark.createDataFrame(nodes, "sym long, id int, name string")
+    called = narrowed(g.by("names", "sym"), "sym", sorted({n[0] for n in nodes})).select("sym", F.col("name").alias("shared"))
+    called = called.join(F.broadcast(own), "sym").select("shared", "id", "name").union(own.select(F.col("name").alias("shared"), "id", "name")).distinct()
+    rows = called.limit(PINNED + 1).collect()
+    names = g.names
+    if len(rows) <= PINNED:
+        called = g.spark.createDataFrame(rows, called.schema)
+        names = names.filter(F.col("name").isin(sorted({r["shared"] for r in rows})))
+    same = names.select(F.col("name").alias("shared"), "sym").join(F.broadcast(called), "shared").select("sym", "id", "name").distinct()
+    same, ids = pinned(same)
+    same = same.join(narrowed(g.syms, "sym", ids).select("sym", F.col("name").alias("own")), "sym")
     same = same.filter(logical_key(F.col("own")) == logical_key(F.col("name"))).select("sym", "id")
-    return nodes.select("sym", "id").union(same).distinct()
+    every = None if ids is None else sorted({*ids, *[n[0] for n in nodes]})
+    return own.select("sym", "id").union(same).distinct(), every if every is None or len(every) <= PINNED else None
 
 
 def forest(
@@ -53,10 +60,10 @@ def forest(
     """id, parent, hop, dir, kind, name, def of a forest from the symbols of a name. ``table``: ``calls`` or ``inh``.
     Roots are never cut off; behind them at most ``max_syms`` nodes in all, and one node at least."""
     spark = g.spark
-    edges, frm, to = (g.calls, "caller", "callee") if table == "calls" else (g.inh, "child", "parent")
+    frm, to = ("caller", "callee") if table == "calls" else ("child", "parent")
     up, down = ((to, frm), (frm, to)) if table == "calls" else ((frm, to), (to, frm))
     ways = [w for w in (("up", 0, up), ("down", 1, down)) if direction in (w[0], "both")]
-    roots, ids = pinned(lookup(g.names, name, substr, root_limit))
+    roots, ids = pinned(lookup(g, name, substr, root_limit))
     if def_in:
         roots = roots.join(first_paths(g, roots, ids).filter(F.col("def_path").contains(def_in)).select("sym"), "sym", "left_semi")
     roots = _named(g, _kept(g, roots, in_, not_in, ids), ids).withColumn("key", logical_key(F.col("name")))
@@ -67,10 +74,10 @@ def forest(
     for hop in range(1, depth + 1):
         if not frontier or not ways or len(nodes) >= room:
             break
-        at, ids = pinned(_copies(g, spark.createDataFrame(frontier, _NODE).select("sym", "id", "name"), [n[4] for n in frontier]))
+        at, ids = _copies(g, [(n[4], n[0], n[5]) for n in frontier])
         found = None
         for label, rank, (a, b) in ways:
-            near = narrowed(edges, a, ids).join(F.broadcast(at), F.col(a) == F.col("sym")).select(F.col(b).alias("next"), F.col("id").alias("parent"), F.lit(rank).alias("rank"), F.lit(label).alias("dir"))
+            near = narrowed(g.by(table, a), a, ids).join(F.broadcast(at), F.col(a) == F.col("sym")).select(F.col(b).alias("next"), F.col("id").alias("parent"), F.lit(rank).alias("rank"), F.lit(label).alias("dir"))
             found = near if found is None else found.union(near)
         found, ids = pinned(found.withColumnRenamed("next", "sym"))
         found = _named(g, _kept(g, found, in_, not_in, ids), ids).withColumn("key", logical_key(F.col("name")))
@@ -100,13 +107,16 @@ def inheritance(g: Graph, name: str, **options) -> DataFrame:
     return forest(g, name, "inh", **options)
 
 
-def least_hops(edges: DataFrame, start: DataFrame, depth: int, limit: int | None = None) -> DataFrame:
+def least_hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """sym, hop: what can be reached from ``start`` (sym) over ``edges`` (src, dst) in ``depth`` hops, with the least
-    hop. Set-wise, for whole graphs: nothing is gathered on the driver."""
-    reached = start.select("sym").distinct().withColumn("hop", F.lit(0))
-    step = edges.select("src", "dst").distinct()
+    hop. Set-wise, for whole graphs: nothing is gathered on the driver, and each hop is written, so plans don't grow."""
+    step = cut(edges.select("src", "dst").distinct(), "edges")
+    frontier = cut(start.select("sym").distinct(), "hop")
+    reached = frontier.withColumn("hop", F.lit(0))
     for hop in range(1, depth + 1):
-        edge = reached.filter(F.col("hop") == hop - 1)
-        near = step.join(edge, step["src"] == edge["sym"]).select(F.col("dst").alias("sym"), F.lit(hop).alias("hop")).distinct()
-        reached = reached.unionByName(near.join(reached.select("sym"), "sym", "left_anti"))
+        near = step.join(frontier, step["src"] == frontier["sym"]).select(F.col("dst").alias("sym")).distinct()
+        frontier = cut(near.join(reached.select("sym"), "sym", "left_anti"), "hop")
+        reached = reached.unionByName(frontier.withColumn("hop", F.lit(hop)))
+        if frontier.isEmpty():
+            break
     return reached

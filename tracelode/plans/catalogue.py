@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-NAME, PART, BRAND = "red plate", "widget", "Brand#1::"
+NAME, PART, BRAND = "red plate", "widget", "Brand#7::"
 CUSTOMER, SUPPLIER = "Customer#000000007", "Supplier#000000003"
 
 
@@ -97,7 +97,7 @@ shown as (select key, min(seq * 100000000000 + sym) as place, arg_min({shown}, (
 select row_number() over (order by place) as seq, name, "def" from shown"""
 
 
-on_graph("super_direct", lambda g: verbs.supers(g, CUSTOMER, substr=True), related_sql(SUBSTR.format(CUSTOMER, 16), "child", "parent"))
+on_graph("super_direct", lambda g: verbs.supers(g, "0000", substr=True, limit=200), related_sql(SUBSTR.format("0000", 200), "child", "parent"))
 on_graph("sub_direct", lambda g: verbs.subs(g, "ASIA"), related_sql(EXACT.format("ASIA"), "parent", "child"))
 on_graph("sub_in", lambda g: verbs.subs(g, "NATION_1", substr=True, limit=10, not_in="/x"), related_sql(SUBSTR.format("NATION_1", 10), "parent", "child", "not contains(coalesce(dp.def_path, ''), '/x')"))
 
@@ -158,9 +158,9 @@ on_graph("callgraph_forest", lambda g: walk.callgraph(g, NAME, direction="both",
 _register(
     "reach_hops",
     lambda spark, sf_dir: walk.least_hops(
-        (v := views(spark, sf_dir))["pg_calls"].select(F.col("caller").alias("src"), F.col("callee").alias("dst")), v["pg_syms"].filter("sym >= 3000000000 and sym < 3000000010").select("sym"), 3
+        (v := views(spark, sf_dir))["pg_calls"].select(F.col("caller").alias("src"), F.col("callee").alias("dst")), v["pg_syms"].filter("kind = 2 and lang = 2").select("sym"), 3
     ),
-    "own as (select distinct sym from pg_syms where sym >= 3000000000 and sym < 3000000010), h1 as (select distinct callee as sym from pg_calls join own on caller = own.sym), h2 as (select distinct callee as sym from pg_calls join h1 on caller = h1.sym), h3 as (select distinct callee as sym from pg_calls join h2 on caller = h2.sym)\n"
+    "own as (select distinct sym from pg_syms where kind = 2 and lang = 2), h1 as (select distinct callee as sym from pg_calls join own on caller = own.sym), h2 as (select distinct callee as sym from pg_calls join h1 on caller = h1.sym), h3 as (select distinct callee as sym from pg_calls join h2 on caller = h2.sym)\n"
     "select sym, min(hop) as hop from (select sym, cast(0 as bigint) as hop from own union all select sym, 1 from h1 union all select sym, 2 from h2 union all select sym, 3 from h3) group by sym",
 )
 
@@ -272,10 +272,16 @@ def _shards(g: Graph) -> list[Graph]:
     return [replace(g, **{t: part(g.tables()[t], key, k) for t, key in keys.items()}) for k in range(3)]
 
 
+def _merged(g: Graph) -> DataFrame:
+    m = build.merge(_shards(g))
+    own = lambda df, table, *columns: df.select(F.lit(table).alias("table"), *[c.cast("long").alias(n) for c, n in zip(columns, "abc", strict=True)], *(["name"] if "name" in df.columns else [F.lit(None).cast("string").alias("name")]))
+    return own(m.syms, "syms", F.col("sym"), F.col("kind"), F.col("lang")).union(own(m.calls, "calls", F.col("caller"), F.col("callee"), F.col("role"))).union(own(m.childof, "childof", F.col("parent"), F.col("child"), F.lit(None)))
+
+
 on_graph(
     "merge_union",
-    lambda g: (m := build.merge(_shards(g))).syms.agg(F.count(F.lit(1)).alias("n")).select(F.lit("syms").alias("table"), "n").union(m.names.agg(F.count(F.lit(1))).select(F.lit("names"), "count(1)")).union(m.xrefs.agg(F.count(F.lit(1))).select(F.lit("xrefs"), "count(1)")).union(m.calls.agg(F.count(F.lit(1))).select(F.lit("calls"), "count(1)")),
-    "select 'syms' as \"table\", count(*) as n from pg_syms union all select 'names', count(*) from pg_names union all select 'xrefs', count(*) from pg_xrefs union all select 'calls', count(*) from pg_calls",
+    _merged,
+    "select 'syms' as \"table\", sym as a, cast(kind as bigint) as b, cast(lang as bigint) as c, name from pg_syms union all select 'calls', caller, callee, cast(role as bigint), null from pg_calls union all select distinct 'childof', parent, child, cast(null as bigint), null from pg_childof",
 )
 
 
@@ -363,8 +369,27 @@ def _ingested(table: str) -> Query:
     return query
 
 
+def _literal_sql(columns: dict[str, str], rows: list[tuple]) -> str:
+    """SQL of literal rows."""
+    shown = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    values = ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows)
+    return f"select {', '.join(f'cast({c} as {k}) as {c}' for c, k in columns.items())} from (values {values}) t({', '.join(columns)})"
+
+
+#: Symbols of the built-in stream, by the hash of their identity.
+_BAR, _HELPER, _W, _BASE, _BOX = -44136972196806020, -7444416847966249867, -8062535717394313524, 2719579818734437276, 6114211611803695586
+_LONG = {c: "bigint" for c in ("sym", "role", "file", "off", "caller", "callee", "child", "parent")}
+_KNOWN = {
+    "xrefs": [(_BAR, DECL, 1, 100), (_BAR, DECL, 0, 200), (_BAR, DEF, 0, 190), (_W, REF, 0, 320), (_HELPER, CALL, 0, 300), (_HELPER, CALL, 0, 500)],
+    "calls": [(_BAR, _HELPER, CALL), (_BAR, _W, REF)],
+    "typed": [(_W, "Box *")],
+    "sig": [(_BAR, "int bar(Box * w)")],
+    "aliases": [(_BAR, "Foo::bar"), (_HELPER, "Foo::helper"), (_W, "Foo::bar::w"), (_BASE, "Base"), (_BOX, "Box")],
+    "inh": [(_BOX, _BASE)],
+}
+_NAMES = {"xrefs": ("sym", "role", "file", "off"), "calls": ("caller", "callee", "role"), "typed": ("sym", "typed"), "sig": ("sym", "sig"), "aliases": ("sym", "alias"), "inh": ("child", "parent")}
 for _name, _table in (("ingest_xrefs", "xrefs"), ("ingest_calls", "calls"), ("ingest_types", "typed"), ("ingest_sigs", "sig"), ("ingest_names", "aliases"), ("ingest_inherits", "inh")):
-    QUERIES[_name] = _ingested(_table)
+    _register(_name, (lambda query: lambda spark, sf_dir: query(spark, sf_dir))(_ingested(_table)), _literal_sql({c: _LONG.get(c, "varchar") for c in _NAMES[_table]}, _KNOWN[_table]))
 
 
 def _marked(spark: SparkSession, _: str) -> DataFrame:
@@ -376,16 +401,30 @@ def _marked(spark: SparkSession, _: str) -> DataFrame:
     return code.select(F.hex("fact_value").alias("code"), marked_name("fact_value").alias("name"))
 
 
-QUERIES["marked_source_fqn"] = _marked
+#: Bytes of the stream's marked sources, and the names in them.
+_CODES = [
+    ("1A08080422023A3A50011A0708031203426F78", "Box"),
+    ("1A08080422023A3A50011A080803120442617365", "Base"),
+    ("1A1108041A0708031203466F6F22023A3A50011A0708031203626172", "Foo::bar"),
+    ("1A1108041A0708031203466F6F22023A3A50011A0A0803120668656C706572", "Foo::helper"),
+    ("1A1A08041A0708031203466F6F1A070803120362617222023A3A50011A050803120177", "Foo::bar::w"),
+]
+_register("marked_source_fqn", _marked, _literal_sql({"code": "varchar", "name": "varchar"}, _CODES))
 QUERIES["sym_hash"] = lambda spark, sf_dir: graph(spark, sf_dir).syms.select("name", S.sym_of(F.col("name")).alias("hash"))
+#: Values of the 64-bit hash with seed 0 by its own library, as signed numbers.
+_HASHES = [("", -1205034819632174695), ("a", -3292477735350538661), ("abc", 4952883123889572249), ("message digest", 463544382707905470), ("abcdefghijklmnopqrstuvwxyz", -3467223636685257892)]
+_register("sym_hash_known", lambda spark, _: _literal(spark, [v for v, _ in _HASHES]).select("value", S.sym_of(F.col("value")).alias("hash")), _literal_sql({"value": "varchar", "hash": "bigint"}, _HASHES))
 
 
 def _digests(spark: SparkSession, _: str) -> DataFrame:
+    """sha and the units that have the same digest: two are equal, the others differ in one thing each."""
     from .sample import units
 
     from ..sources.kzip import digest
 
-    return units(spark).select("sha", digest(F.lit("cxx-1"), F.col("unit")).alias("digest"))
+    rows = units(spark).select("sha", digest(F.lit("cxx-1"), F.col("unit")).alias("digest"))
+    same = rows.groupBy("digest").agg(F.array_join(F.sort_array(F.collect_list("sha")), ",").alias("same"))
+    return rows.join(same, "digest").select("sha", "same", F.length("digest").alias("n"))
 
 
-QUERIES["cu_digest_changes"] = _digests
+_register("cu_digest_changes", _digests, _literal_sql({"sha": "varchar", "same": "varchar", "n": "bigint"}, [("same1", "same1,same2", 64), ("same2", "same1,same2", 64), ("argv", "argv", 64), ("input", "input", 64)]))

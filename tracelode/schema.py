@@ -10,7 +10,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
-VERSION = 1
+VERSION = 2
 
 #: Roles, kinds and languages by number, with the labels that replies show.
 DECL, DEF, REF, CALL = 0, 1, 2, 3
@@ -64,6 +64,14 @@ class Graph:
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
+    def by(self, table: str, column: str) -> DataFrame:
+        """The table, in the form that is best looked up by a column."""
+        return getattr(self, table)
+
+    def likely(self, needle: str) -> DataFrame | None:
+        """Name rows among which are all that hold the needle in any case; None: all name rows."""
+        return None
+
     @property
     def spark(self) -> SparkSession:
         return self.syms.sparkSession

@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.build import assemble, file_ids
+from ..operators.build import assemble, file_ids, ranked
 from ..operators.ingest import raw_tables
 from ..schema import COLUMNS, Graph
+from .tables import cut, release
 
 #: Raw tables; xrefs carry paths, since file ids are given when a graph is assembled.
 RAW = {t: c for t, c in COLUMNS.items() if t not in ("names", "files")} | {
@@ -101,10 +102,28 @@ def _by_unit(entries: DataFrame) -> dict[str, DataFrame]:
     return {name: df.withColumnRenamed("cu_id", "digest").distinct() for name, df in raw.items()}
 
 
-def build(spark: SparkSession, cache: UnitCache, plan: DataFrame, ingest: Callable[[DataFrame], DataFrame]) -> Graph:
-    """An incremental build. ``plan``: cu_id, digest and whatever ``ingest`` needs to make entries of the missing units."""
-    missing = cache.misses(plan)
-    if not missing.isEmpty():
-        cache.store(ingest(missing), missing.select("cu_id", "digest"))
-    cache.prune(plan)
+def build(spark: SparkSession, cache: UnitCache, plan: DataFrame, ingest: Callable[[DataFrame], DataFrame], every: int = 0, rows: int = 0, prune: bool = True) -> Graph:
+    """An incremental build. ``plan``: cu_id, digest and whatever ``ingest`` needs to make entries of the missing units.
+    Missing units are ingested and stored ``every`` so many (0: all at once), in the order of their digests, so that a run that is
+    ended early goes on where it was. ``rows``: entries that a batch should have at most, by what units had so far (0: any number);
+    a batch has one unit at least. ``ingest`` is asked once for each unit, and what it gives is written before it is read."""
+    missing = cut(cache.misses(plan), "missing")
+    left, most = missing.count(), every or 1 << 31
+    number = ranked(missing.select("digest").distinct(), ["digest"])
+    missing = cut(missing.join(number, "digest"), "numbered")
+    done = 0
+    while left > 0:
+        batch = missing.filter((F.col("rank") >= done) & (F.col("rank") < done + most))
+        held = batch.count()
+        if not held:
+            break
+        own = cut(ingest(batch.drop("rank")), "entries")
+        cache.store(own, batch.select("cu_id", "digest"))
+        found = own.count()
+        release(own)
+        left, done = left - held, done + most
+        if rows and found:
+            most = max(1, min(every or 1 << 31, rows * held // found))
+    if prune:
+        cache.prune(plan)
     return cache.graph(plan)

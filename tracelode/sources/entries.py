@@ -93,6 +93,12 @@ def read(spark: SparkSession, *paths: str, tolerant: bool = False) -> DataFrame:
     return files.mapInPandas(run, ENTRY)
 
 
+def decode(spark: SparkSession, data: bytes, name: str = "-", tolerant: bool = False) -> DataFrame:
+    """The entries of a stream that is at hand, such as the standard input: one unit, decoded here."""
+    rows = [(name, *one) for one in stream(data, tolerant)]
+    return spark.createDataFrame(rows, ENTRY)
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["cu_id", "source", "edge_kind", "target", "fact_name", "fact_value"])
 
@@ -115,13 +121,17 @@ class EntryReader(DataSourceReader):
             fs, root = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
             info = fs.get_file_info(root)
             own = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root))
-            found += [_File(f.path) for f in own if f.type == pafs.FileType.File]
+            scheme = path.split("://")[0] + "://" if "://" in path else ""
+            found += [_File(scheme + f.path) for f in own if f.type == pafs.FileType.File]
         return sorted(found, key=lambda f: f.path) or [_File("")]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         if not partition.path:
             return
-        with open(partition.path, "rb") as f:
+        import pyarrow.fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(partition.path) if "://" in partition.path else (pafs.LocalFileSystem(), partition.path)
+        with fs.open_input_stream(root) as f:
             data = f.read()
         order = list(_VNAME.values())
         flat = lambda v: tuple(v[k] for k in order)

@@ -2,15 +2,21 @@
 and ``ROOT/files/DIGEST`` members.
 
 One archive is one file, so its members are listed once and read by range in parallel: the member table
-is a DataFrame, and units are decoded where its rows are. Units that a filter on path or language can
-reject by a look at the record's head are not decoded further.
+is a DataFrame, and units are decoded where its rows are. A filter on the primary path first looks at the fields that
+tell it, without building the unit; units that it rejects are not decoded further.
+
+Units run through external indexers once: what the programs say and how they ended is written before anything reads it.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import subprocess
+import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,6 +121,42 @@ def decode_json(data: bytes) -> dict:
     return out
 
 
+def peek(data: bytes, is_proto: bool) -> str | None:
+    """The primary path by a look at the few fields that tell it; "" for a unit without one, None where it takes a whole
+    decoding to tell."""
+    if not is_proto:
+        return None
+    unit = next((own for n, _, own in fields(data, only_bytes=True) if n == 1), None)
+    if unit is None:
+        return None
+    first, name = None, ""
+    for n, wire, own in fields(unit):
+        if wire != 2:
+            continue
+        if n == 6:
+            return text(own)
+        if n == 3 and first is None:
+            first = own
+        elif n == 1:
+            name = vname(own)["path"]
+    parts = {n: own for n, _, own in fields(first, only_bytes=True)} if first is not None else {}
+    return parts.get(1) and vname(parts[1])["path"] or parts.get(2) and _info(parts[2])["path"] or name
+
+
+@contextmanager
+def _zip(path: str) -> Iterator[zipfile.ZipFile]:
+    """An archive by a local path or by the address of a file system."""
+    if "://" not in path:
+        with zipfile.ZipFile(path) as z:
+            yield z
+        return
+    import pyarrow.fs as pafs
+
+    fs, root = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(root) as f, zipfile.ZipFile(f) as z:
+        yield z
+
+
 def primary_path(unit: dict) -> str | None:
     first = unit["required_input"][0] if unit["required_input"] else None
     if unit["source_file"]:
@@ -125,7 +167,7 @@ def primary_path(unit: dict) -> str | None:
 def members(archive: str) -> list[tuple[str, bool, str]]:
     """(sha, is_proto, member) of the units; a protocol buffer hides JSON of the same sha."""
     found: dict[tuple[str, bool], str] = {}
-    with zipfile.ZipFile(archive) as z:
+    with _zip(archive) as z:
         for name in z.namelist():
             parts = name.split("/")
             if len(parts) == 3 and parts[2] and parts[1] in ("pbunits", "units"):
@@ -140,11 +182,13 @@ def read_units(spark: SparkSession, archive: str, accept: Callable[[str | None],
     listed = listed.repartition(parts or max(1, spark.sparkContext.defaultParallelism), "sha")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with zipfile.ZipFile(archive) as z:
+        with _zip(archive) as z:
             for batch in batches:
                 out = []
                 for sha, proto, name in zip(batch["sha"], batch["is_proto"], batch["member"], strict=True):
                     data = z.read(name)
+                    if accept is not None and (path := peek(data, proto)) is not None and not accept(path or None):
+                        continue
                     unit = decode_unit(data) if proto else decode_json(data)
                     if accept is None or accept(primary_path(unit)):
                         out.append((archive, sha, proto, unit))
@@ -191,7 +235,7 @@ def write_normalized(archive: str, out: str, keep: Callable[[dict], dict | None]
     """Writes an archive of protocol-buffer units and the files that they name. ``keep`` may change a unit or leave it
     out (None). Files that are missing are left out. Gives the number of units."""
     n, wanted = 0, set()
-    with zipfile.ZipFile(archive) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as to:
+    with _zip(archive) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as to:
         names = set(z.namelist())
         root = next(iter(sorted(names)), "root/").split("/")[0]
         to.writestr(f"{root}/", b"")
@@ -210,21 +254,84 @@ def write_normalized(archive: str, out: str, keep: Callable[[dict], dict | None]
     return n
 
 
-def piped(units: DataFrame, command: Callable[[dict, str], list[str]]) -> DataFrame:
-    """Entries of an external indexer: ``command`` gives the program and its arguments for a unit and its sha, and its standard output
-    is an entry stream. A unit whose program fails gives no rows."""
-    import subprocess
+def sub_archive(archive: str, sha: str, unit: dict, out: str) -> int:
+    """Writes an archive of one unit, as it is given, and the files that it names; files that are missing are left out.
+    Gives the number of files."""
+    n = 0
+    with _zip(archive) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as to:
+        names = set(z.namelist())
+        root = next(iter(sorted(names)), "root/").split("/")[0]
+        for folder in ("", "pbunits/", "files/"):
+            to.writestr(f"{root}/{folder}", b"")
+        to.writestr(f"{root}/pbunits/{sha}", encode_unit(unit))
+        for d in sorted({i["info"]["digest"] for i in unit["required_input"] if i["info"]["digest"]}):
+            if f"{root}/files/{d}" in names:
+                to.writestr(f"{root}/files/{d}", z.read(f"{root}/files/{d}"))
+                n += 1
+    return n
 
+
+#: Of the program's error output, this much of the end is kept.
+TAIL = 2_000
+RESULT = "lang string, ok boolean, empty boolean, failed boolean, entries long, tail string"
+
+
+def run_indexer(command: list[str], sha: str) -> tuple[list[tuple], tuple[bool, bool, bool, int, str]]:
+    """Entries of one unit, and how its program ended: (ok, empty, failed, entries, tail). A program that can't be started
+    or fails gives no entries and a failed unit, not an error."""
+    from .entries import stream
+
+    try:
+        done = subprocess.run(command, capture_output=True, check=False)
+    except OSError as error:
+        return [], (False, False, True, 0, f"sha={sha} spawn: {error}")
+    rows = [(sha, *one) for one in stream(done.stdout, tolerant=True)]
+    if done.returncode:
+        tail = done.stderr[-TAIL:].decode("utf-8", "replace").strip()
+        return [], (False, False, True, len(rows), f"sha={sha} exit={done.returncode}\n{tail}".strip())
+    return rows, (bool(rows), not rows, False, len(rows), "")
+
+
+def indexed(units: DataFrame, command: Callable[[dict, str, str], list[str]], archive: str | None = None, staging: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entries of external indexers, and a row a unit: sha and ``RESULT``. ``command`` gives the program and its arguments for
+    a unit, its sha, and the path of its archive. With ``archive`` each unit is put in an archive of its own, as it is given, in the
+    folder ``staging``, and taken away after its program has ended; that is the program's scratch, nothing is read from it later.
+    Every program is started once: what comes of it is written."""
     from ..schema import ENTRY
-    from .entries import _frame, stream
+    from .entries import _frame
+    from .tables import cut
+
+    names = [x.split(" ")[0] for x in RESULT.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for sha, unit in zip(batch["sha"], batch["unit"], strict=True):
-                done = subprocess.run(command(unit, sha), capture_output=True, check=False)
-                if done.returncode == 0:
-                    rows = [(sha, *one) for one in stream(done.stdout, tolerant=True)]
-                    if rows:
-                        yield _frame(rows)
+                at = ""
+                try:
+                    if archive:
+                        if staging:
+                            os.makedirs(staging, exist_ok=True)
+                        with tempfile.NamedTemporaryFile(dir=staging, prefix=f"{sha}.", suffix=".kzip", delete=False) as f:
+                            at = f.name
+                        sub_archive(archive, sha, unit, at)
+                    rows, result = run_indexer(command(unit, sha, at), sha)
+                except (OSError, ValueError, KeyError, zipfile.BadZipFile) as error:
+                    rows, result = [], (False, False, True, 0, f"sha={sha} extract: {error}")
+                finally:
+                    if at and os.path.exists(at):
+                        os.unlink(at)
+                lang = INDEXERS.get(unit["v_name"]["language"].lower(), unit["v_name"]["language"])
+                for begin in range(0, len(rows), 20_000):
+                    part = _frame(rows[begin : begin + 20_000])
+                    yield part.assign(**dict.fromkeys(names))
+                last = _frame([(sha, None, None, None, None, None)])
+                yield last.assign(**dict(zip(names, (lang, *result), strict=True)))
+
+    written = cut(units.select("sha", "unit").mapInPandas(run, f"{ENTRY}, {RESULT}"), "indexed")
+    entries = written.filter("lang is null").drop(*names)
+    return entries, written.filter("lang is not null").select(F.col("cu_id").alias("sha"), *names)
 
-    return units.select("sha", "unit").mapInPandas(run, ENTRY)
+
+def piped(units: DataFrame, command: Callable[[dict, str], list[str]]) -> DataFrame:
+    """Entries of external indexers that read the unit by its sha; units whose program fails give no rows."""
+    return indexed(units, lambda unit, sha, _: command(unit, sha))[0]
