@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     made = (
-        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', str(min(8, os.cpu_count() or 4)))}]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.default.parallelism", "4")
         .config("spark.ui.enabled", "false")
