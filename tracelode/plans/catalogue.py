@@ -382,7 +382,7 @@ _LONG = {c: "bigint" for c in ("sym", "role", "file", "off", "caller", "callee",
 _KNOWN = {
     "xrefs": [(_BAR, DECL, 1, 100), (_BAR, DECL, 0, 200), (_BAR, DEF, 0, 190), (_W, REF, 0, 320), (_HELPER, CALL, 0, 300), (_HELPER, CALL, 0, 500)],
     "calls": [(_BAR, _HELPER, CALL), (_BAR, _W, REF)],
-    "typed": [(_W, "Box *")],
+    "typed": [(_BAR, "int(Box *)"), (_W, "Box *")],
     "sig": [(_BAR, "int bar(Box * w)")],
     "aliases": [(_BAR, "Foo::bar"), (_HELPER, "Foo::helper"), (_W, "Foo::bar::w"), (_BASE, "Base"), (_BOX, "Box")],
     "inh": [(_BOX, _BASE)],
