@@ -99,3 +99,23 @@ def test_scan_adds_table_values():
     codes = A.encode(x, books)
     back = np.hstack([books[j][codes[:, j]] for j in range(len(books))])[:, :13]
     assert np.allclose(A.scan(A.tables(q, books), A.packed(codes)), q @ back.T, atol=1e-4)
+
+
+def test_clashing_columns_and_many_rows_of_one_id(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, x[i].tolist()) for i in range(60)] + [(7, x[7].tolist())] * 3_000 + [(100 + i, x[3].tolist()) for i in range(2_000)] + [(9, x[11].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    wide = df
+    for name in ("v", "q", "same", "ids", "codes", "part", "block", "query_id", "rank", "score", "nth", "d"):
+        wide = wide.withColumn(name, df.vec_id)
+    asked = df.filter("vec_id in (0, 3, 9)")
+    got = A.search(wide, wide.filter("vec_id in (0, 3, 9)"), 5).collect()
+    want = A.search(df, asked, 5).collect()
+    key = lambda rs: sorted(map(tuple, rs))
+    assert key(got) == key(want)
+    for q in (0, 3, 9):
+        vector = min(v for i, v in rows if i == q)
+        score = sorted({(-float((np.array(v) * np.array(vector)).sum()), i) for i, v in rows if i != q})[:5]
+        own = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [i for _, i in own] == [i for _, i in score]

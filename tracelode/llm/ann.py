@@ -17,7 +17,8 @@ again, so recall does not fall as blocks are added. The work is queries times en
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, or have another
 dimension than most, take no part; a null vec_id takes no part; a query is not its own neighbour;
-equal rows of one vec_id are one; other columns are ignored; an empty table gives an empty result.
+equal rows of one vec_id are one, and different vectors of one vec_id are separate candidates (as a query, the least of them
+counts, and none of them is its neighbour); other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

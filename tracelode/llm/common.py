@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut, release, shared_dir
+
+__all__ = ["cut", "free_name", "hot_join", "numbered_copies", "release", "shared_dir", "small_batches", "table"]
+
 HOT_ROWS, HOT_KEYS = 2_000, 50_000
 
 
@@ -16,37 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names
-    one. Only where it is unset (tests on one machine) a folder of our own is made and named; a cluster must name one."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="tracelode-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back. It cuts the lineage, is computed
-    once, is columnar, and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.cut_at = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes what ``cut`` wrote of ``frames``; for tables whose readers are written themselves."""
-    for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int) -> DataFrame:
     """``left`` joined with ``right`` on ``on``, where ``right`` has one row a key and its column ``n`` says how many rows of
     ``left`` have that key, of ``rows`` in all. Keys of more than ``HOT_ROWS`` rows, and of more than ``rows / HOT_KEYS``, are
