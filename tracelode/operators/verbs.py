@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import display_name, is_ticket, kind_label, lang_label, logical_key, passes, place, role_label, sym_order
 from ..schema import CALL, CONTAINERS, DECL, DEF, Graph
+from ..sources.tables import local
 from .resolve import PINNED, lookup
 
 LIMIT, MAX_HITS, LEAST_SYMS = 16, 200, 64
@@ -32,7 +33,7 @@ def pinned(syms: DataFrame) -> tuple[DataFrame, list[int] | None]:
     rows = syms.limit(PINNED + 1).collect()
     if len(rows) > PINNED:
         return syms, None
-    return syms.sparkSession.createDataFrame(rows, syms.schema), sorted({r["sym"] for r in rows})
+    return local(syms.sparkSession, rows, syms.schema), sorted({r["sym"] for r in rows})
 
 
 def narrowed(table: DataFrame, column: str, ids: list[int] | None) -> DataFrame:

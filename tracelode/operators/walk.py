@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import display_name, kind_label, logical_key, passes, place, sym_order
 from ..schema import Graph
-from ..sources.tables import cut
+from ..sources.tables import cut, local
 from .resolve import PINNED, lookup
 from .verbs import first_paths, narrowed, pinned, places
 
@@ -37,13 +37,13 @@ def _kept(g: Graph, rows: DataFrame, in_: str | None, not_in: str | None, ids: l
 def _copies(g: Graph, nodes: list[tuple[int, int, str]]) -> tuple[DataFrame, list[int] | None]:
     """sym, id of every copy of the nodes (sym, id, name), and their ids if they are few: symbols that share a name row with the
     node (its name or an alias) and its logical key. Names and symbols are looked up by value while they are few."""
-    own = g.spark.createDataFrame(nodes, "sym long, id int, name string")
+    own = local(g.spark, nodes, "sym long, id int, name string")
     called = narrowed(g.by("names", "sym"), "sym", sorted({n[0] for n in nodes})).select("sym", F.col("name").alias("shared"))
     called = called.join(F.broadcast(own), "sym").select("shared", "id", "name").union(own.select(F.col("name").alias("shared"), "id", "name")).distinct()
     rows = called.limit(PINNED + 1).collect()
     names = g.names
     if len(rows) <= PINNED:
-        called = g.spark.createDataFrame(rows, called.schema)
+        called = local(g.spark, rows, called.schema)
         names = names.filter(F.col("name").isin(sorted({r["shared"] for r in rows})))
     same = names.select(F.col("name").alias("shared"), "sym").join(F.broadcast(called), "shared").select("sym", "id", "name").distinct()
     same, ids = pinned(same)
@@ -81,7 +81,7 @@ def forest(
             found = near if found is None else found.union(near)
         found, ids = pinned(found.withColumnRenamed("next", "sym"))
         found = _named(g, _kept(g, found, in_, not_in, ids), ids).withColumn("key", logical_key(F.col("name")))
-        old = spark.createDataFrame([(k,) for k in sorted(seen)], "key string")
+        old = local(spark, [(k,) for k in sorted(seen)], "key string")
         found = found.join(F.broadcast(old), "key", "left_anti")
         at_ = F.struct("parent", "rank", sym_order(F.col("sym")).alias("order"))
         best = found.groupBy("key").agg(F.min_by(F.struct("sym", "name", "dir", "parent"), at_).alias("n"), F.min(at_).alias("at"))
@@ -89,7 +89,7 @@ def forest(
         frontier = [(len(nodes) + i, r["parent"], hop, r["dir"], r["sym"], r["name"]) for i, r in enumerate(rows)]
         nodes = nodes + frontier
         seen |= {_key(n[5]) for n in frontier}
-    out, ids = spark.createDataFrame(nodes, _NODE), [n[4] for n in nodes]
+    out, ids = local(spark, nodes, _NODE), [n[4] for n in nodes]
     out = out.join(narrowed(g.syms, "sym", ids).select("sym", "kind"), "sym", "left").join(places(g, out, ids), "sym", "left")
     shown = F.col("name") if table == "calls" else display_name(F.col("name"), F.col("path"), F.col("off"))
     return out.select("id", "parent", "hop", "dir", kind_label(F.coalesce("kind", F.lit(0))).alias("kind"), shown.alias("name"), place(F.col("path"), F.col("off")).alias("def"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +39,12 @@ def release(*frames: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def local(spark: SparkSession, rows: list[tuple], kinds: StructType | str) -> DataFrame:
+    """A few rows as part of a plan: it knows their size, and no job makes them."""
+    schema = kinds if isinstance(kinds, StructType) else _parse_datatype_string(kinds)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    arrow = to_arrow_schema(schema)
+    table = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+    return spark.createDataFrame(table, schema)
