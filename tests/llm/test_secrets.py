@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tests.llm.helpers import SF, documents, no_documents, odd_documents
 from tracelode.llm import secrets as S
@@ -126,3 +127,34 @@ def test_masking(spark):
     docs = spark.createDataFrame([(1, "my password: hunter22 ok", 24), (2, "nothing here", 12), (3, "x=" + "ab12" * 8 + " token=abcdef token=ghijkl", 0), (4, None, None)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in S.mask_secrets(docs).collect()}
     assert got == {1: ("my <SECRET> ok", 14), 2: ("nothing here", 12), 3: ("x=<SECRET> <SECRET> <SECRET>", 28), 4: (None, None)}
+
+
+def _plainly(text, spans):
+    out, at = "", 0
+    for start, _, end in sorted(spans):
+        if start >= at:
+            out += text[at:start] + S.MASK
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_slices_and_pieces_change_nothing(spark, monkeypatch):
+    rng = random.Random(6)
+    parts = ["token=", "secret: ", "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "0" * 24, " ", "é\U0001f600", "\n", "some words", *_tokens(rng, 6)]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 60)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r["doc_id"]: r["spans"] for r in held(docs)}
+    monkeypatch.setattr(S, "_SLICE", 3)
+    monkeypatch.setattr(S, "_PIECES", (64, 7))
+    small = {r["doc_id"]: r["spans"] for r in held(docs)}
+    assert small == whole and any(x["kind"] == 3 for own in whole.values() for x in own)
+    masked = {r["doc_id"]: r["text"] for r in S.mask_secrets(docs).collect()}
+    assert masked == {i: _plainly(t, whole[i]) for i, t in rows}
+
+
+def test_many_spans_take_time_in_proportion(spark):
+    text = "\n".join(hashlib.sha1(str(i).encode()).hexdigest() + " line é" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    assert S.mask_secrets(docs).first()["text"] == re.sub("[0-9a-f]{24,}", S.MASK, text)
+    assert time.monotonic() - began < 60  # minutes, if each span is copied or looked for once a span

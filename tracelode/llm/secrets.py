@@ -22,11 +22,13 @@ family has above a threshold beyond their share of that is false. The threshold
 what is reported. P-values are counted in bins of a hundredth of a decade, so the rule needs only a small table of counts.
 
 Defined results: a null or empty text has no spans; repeated rows are repeated; tokens of equal p-values are reported alike; other columns are
-ignored; offsets are code points, ends exclusive. An empty table gives an empty result.
+ignored; a text of very many spans takes time about in proportion to its length; offsets are code points, ends exclusive. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 RATE = 0.05  # of tokens that aren't random among those that are reported, about
 EVEN = -30  # bin (p of about one half) from which on tokens are taken to be random
 MASK = "<SECRET>"
+_SLICE = 512  # matches of a text that are placed at once
+_PIECES = (1 << 22, 1 << 17, 1 << 12)  # code points of the pieces that a text is masked in
 _CELLS = 8
 _BIN = 100  # bins to a decade of p
 _ALPHABETS = {
@@ -58,21 +62,37 @@ _FITS = {
 }
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _found(text: Column, pattern: str, group: int | None = None) -> Column:
-    """Leftmost matches that don't overlap: array of (start, end, value); value is ``group``'s text, or the match."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    rows = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), value.alias("value"))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    """Leftmost matches that don't overlap: array of (start, end, value); value is ``group``'s text, or the match.
+    An array that grows is copied at each step, so matches are placed in slices, and slices are put together."""
+    kind = "array<struct<start:int,end:int,value:string>>"
+    empty = F.array().cast(kind)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(acc["all"], one).alias("all"))
+    def one(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + x["hit"]
+        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("all"))
+
+    def placed(rows: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            part = F.aggregate(F.slice(rows, i, F.lit(_SLICE)), F.struct(acc["at"].alias("at"), empty.alias("all")), one)
+            return _bound(part, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["all"], F.array(p["all"])).alias("all")))
+
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("all"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(rows), F.lit(_SLICE)), begin, step, lambda acc: acc["all"]))
 
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("all"))
-    return F.when(F.size(hits) > 0, F.aggregate(rows, begin, step, lambda acc: acc["all"])).otherwise(empty)
+    def spans(hits: Column) -> Column:
+        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+        rows = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(hits)).alias("gap"), hits.alias("hit"), value.alias("value"))
+        sizes = F.transform(rows, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), x["value"].alias("value")))
+        return F.when(F.size(hits) > 0, _bound(sizes, placed)).otherwise(empty)
+
+    return _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -137,7 +157,7 @@ def _battery(token: Column, alphabet: str) -> Column:
         low = F.least(F.lit(1.0), F.greatest(F.lit(1e-30), F.least(p_chi, p_kinds, p_runs, p_serial)))
         return F.when(low < 1e-9, 4 * low).otherwise(1 - F.pow(1 - low, F.lit(4.0)))
 
-    return F.element_at(F.transform(F.array(at), tests), 1)  # the places are worked out once
+    return _bound(at, tests)
 
 
 def candidates(text: Column) -> Column:
@@ -174,8 +194,17 @@ def random_spans(tokens: Column, limits: dict[str, int], base: Column) -> Column
         return _spans(F.filter(tokens, lambda x: F.lit(False)), "random")
     names = F.create_map(*[F.lit(v) for pair in sorted(limits.items()) for v in pair])  # 128 families at most
     kept = F.filter(tokens, lambda x: x["bin"] > F.element_at(names, x["family"]))
-    kept = F.filter(kept, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
-    return _spans(kept, "random")
+
+    def outside(v: Column) -> Column:
+        def part(own: Column) -> Column:
+            first, last = F.get(own, F.lit(0))["start"], F.get(own, F.size(own) - 1)["end"]
+            near = F.filter(v["base"], lambda b: (b["start"] < last) & (b["end"] > first))
+            return _bound(near, lambda n: F.filter(own, lambda x: ~F.exists(n, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))))
+
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v["kept"]), F.lit(1)), F.lit(_SLICE))
+        return F.flatten(F.transform(starts, lambda i: _bound(F.slice(v["kept"], i, F.lit(_SLICE)), part)))
+
+    return _spans(_bound(F.struct(kept.alias("kept"), base.alias("base")), outside), "random")
 
 
 def _joined(spans: Column) -> Column:
@@ -191,6 +220,31 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.withColumn(free_name(docs, "found"), F.struct(*[c.alias(k) for k, c in found.items()]))
 
 
+def _masked(v: Column, sizes: tuple[int, ...] | None = None) -> Column:
+    """``text`` of ``v``, which begins at ``low``, with its part of the ``spans`` (in order) replaced. A long text is cut in pieces,
+    and these again, each with the spans that reach into it, as to find a place in a text takes time in proportion to its length."""
+    sizes = _PIECES if sizes is None else sizes
+    if sizes:
+
+        def piece(i: Column) -> Column:
+            low = v["low"] + i
+            near = F.filter(v["spans"], lambda x: (x["start"] < low + sizes[0]) & (x["end"] > low))
+            own = F.struct(F.substring(v["text"], i + 1, F.lit(sizes[0])).alias("text"), low.alias("low"), near.alias("spans"))
+            return _bound(own, lambda w: _masked(w, sizes[1:]))
+
+        starts = F.sequence(F.lit(0), F.greatest(F.length(v["text"]) - 1, F.lit(0)), F.lit(sizes[0]))
+        return F.array_join(F.transform(starts, piece), "")
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = x["start"] >= acc["at"]
+        told = F.when(fresh, F.concat(F.substring(v["text"], acc["at"] - v["low"] + 1, x["start"] - acc["at"]), F.lit(MASK))).otherwise("")
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.array(told)).alias("out"))
+
+    begin = F.struct(v["low"].alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(v["text"], acc["at"] - v["low"] + 1, F.length(v["text"])))
+    return F.aggregate(v["spans"], begin, step, rest)
+
+
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every span, base or random, of ``text`` replaced by ``MASK`` and ``n_chars`` recounted;
     all rows stay. Spans that overlap are one."""
@@ -203,14 +257,8 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     scanned = scanned.withColumn(at, F.array_sort(F.concat(base, random_spans(f["tokens"], limits, base))))
     spans = F.col(at)
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(MASK))).otherwise("")
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    out = scanned.withColumn("text", F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, rest)).otherwise(F.col("text")))
+    whole = F.struct(F.col("text").alias("text"), F.lit(0).alias("low"), spans.alias("spans"))
+    out = scanned.withColumn("text", F.when(F.size(spans) > 0, _bound(whole, lambda v: _masked(v))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.drop(name, at)
