@@ -94,6 +94,26 @@ def test_clashing_names(spark):
     assert Counter(r["doc_id"] for r in rows) == Counter({k: v for k, v in sum_copies(M.mix(docs).collect()).items() if v})
 
 
+def test_many_equal_rows(spark):
+    """One row that is repeated more often than a key may be joined by shuffle, with rows like it in all but another column."""
+    many = [(None, "a b c", "x", 1)] * 5_000 + [(None, "a b c", "x", 2)] * 70
+    rows = many + [(7, "d e", None, 1)] * 3 + [(i, f"w{i} " * (i % 9), "xyz"[i % 3], i) for i in range(1_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+    for weights in ((5.0, 2.0, 1.0), (1.0, 1.0, 9.0, 3.0)):
+        plan = Counter()
+        for r in M.mix(docs, weights).collect():
+            plan[r["doc_id"]] += r["copies"]
+        out = M.mix_documents(docs, weights).collect()
+        assert Counter(r["doc_id"] for r in out) == +plan
+        times = Counter(tuple(r) for r in out)
+        assert not set(times) - set(rows)
+        held = Counter(rows)
+        shares = [times[row] / held[row] for row in (many[0], many[-1])]
+        # the rows of one document share its copies: each gets the same whole number, some one more
+        whole = plan[None] // len(many)
+        assert all(whole <= s <= whole + 1 for s in shares) and times[many[0]] + times[many[-1]] == plan[None]
+
+
 def sum_copies(rows):
     out = Counter()
     for r in rows:

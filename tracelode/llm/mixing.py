@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, hot_join, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -164,21 +164,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    plan = mix(docs, weights).groupBy("doc_id", "node", "source").agg(F.max("copies").alias("most"), F.min("copies").alias("least"), F.sum("copies").alias("total"), F.count(F.lit(1)).alias("n"))
-    plan = cut(plan.select(F.col("doc_id").alias("plan_id"), F.col("node").alias("plan_node"), F.col("source").alias("plan_source"), "least", "total", "n"), "copies")
+    """The rows of ``docs``, each as often as the mix takes it. ``docs`` is read more than once, so a written table is best."""
+    key = lambda id_, node, of: F.struct(id_.alias("id"), node.alias("node"), of.alias("of"))  # noqa: E731 (nulls in a struct are equal)
+    plan = mix(docs, weights).groupBy("doc_id", "node", "source").agg(F.min("copies").alias("least"), F.sum("copies").alias("total"), F.count(F.lit(1)).alias("n"))
+    plan = cut(plan.select(key(F.col("doc_id"), F.col("node"), F.col("source")).alias("key"), "least", "total", "n"), "copies")
+    even = F.col("total") == F.col("n") * F.col("least")
+    known = plan.agg(F.sum("n").alias("rows"), F.count(F.when(~even, 1)).alias("uneven")).first()
     # the row is one value, so no name of its columns meets one of these
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.col("source").alias("of"))
-    rows = rows.join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("node") == F.col("plan_node")) & F.col("of").eqNullSafe(F.col("plan_source")))
-    # rows that repeat share their copies; what doesn't divide goes to one of them
-    uneven = (F.col("n") > 1) & (F.col("total") != F.col("n") * F.col("least"))
-    count = F.col("least")
-    if not plan.filter(uneven).isEmpty():
-        nth = F.row_number().over(Window.partitionBy("id", "node", "of").orderBy(F.xxhash64("row")))
-        count = F.when(uneven, F.floor(F.col("total") / F.col("n")) + (nth <= F.col("total") % F.col("n")).cast("int")).otherwise(count)
-    rows = rows.select("row", count.cast("int").alias("times")).filter("times > 0")
-    return rows.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")
+    rows = docs.select(row.alias("row"), key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))), F.col("source")).alias("key"))
+    rows_of = lambda some: hot_join(rows, plan.filter(some), ["key"], "n", known["rows"] or 0)
+    times = rows_of(even & (F.col("least") > 0)).select("row", F.col("least").cast("long").alias("times"))
+    if known["uneven"]:
+        # rows that repeat share their copies, and the first get one of what doesn't divide; equal rows are counted before they move
+        counts = rows_of(~even).groupBy("key", "total", "n", "row").agg(F.count(F.lit(1)).alias("same"))
+        upto = F.sum("same").over(Window.partitionBy("key").orderBy(F.xxhash64("row"), "row").rowsBetween(Window.unboundedPreceding, 0))
+        one_more = F.greatest(F.lit(0), F.least(F.col("same"), F.col("total") % F.col("n") - (upto - F.col("same"))))
+        times = times.unionByName(counts.select("row", (F.col("same") * F.floor(F.col("total") / F.col("n")) + one_more).cast("long").alias("times")))
+    times = times.filter("times > 0")
+    return times.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
