@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm.common import cut, table
+from tracelode.llm.common import cut, release, table
 from tracelode.llm.minhash_dedup import drop_near_duplicates
 from tracelode.llm.mixing import mix_documents
 from tracelode.llm.packing import pack_documents
@@ -53,8 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written before the next reads it. What a stage read is deleted once its rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)
+        release(*before)
+        before = [docs]
     return docs
