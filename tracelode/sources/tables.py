@@ -12,14 +12,16 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names
-    one. Only where it is unset (tests on one machine) a folder of our own is made and named; a cluster must name one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names one, or else the checkpoint folder
+    that the program gave its context. Only where there is neither (tests on one machine) the context gets one of our own; a cluster must name one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="tracelode-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tracelode-"))
+        place = context.getCheckpointDir()
     return place.rstrip("/")
 
 
