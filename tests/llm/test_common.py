@@ -24,7 +24,7 @@ def test_numbered_copies(spark):
 
 def test_release(spark):
     df = C.cut(documents(spark).select("doc_id"))
-    path = df.cut_at.removeprefix("file://")
+    path = df.cut_at.removeprefix("file:")
     assert os.path.exists(path)
     C.release(df)
     assert not os.path.exists(path)

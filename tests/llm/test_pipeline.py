@@ -3,6 +3,7 @@ from collections import Counter
 import corpus_pipeline as P
 from tests.llm.helpers import DOC, SF, no_documents, odd_documents
 from tracelode.llm.common import table
+from tracelode.sources import tables
 
 
 def test_stages_one_by_one(spark):
@@ -39,6 +40,13 @@ def test_odd_input(spark, tmp_path):
     assert spark.createDataFrame([], DOC).columns == table(spark, SF, "documents").columns
 
 
+def test_stages_read_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_dir", lambda _: f"file://{tmp_path}")
+    rows = P.run(spark, SF).count()
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert rows > 0 and left & {name for name, _ in P.STAGES} == {"packing"}
+
+
 def test_registered(spark):
     import __spark_entry__ as entry
 
